@@ -12,6 +12,7 @@ from hedonica.functions.metrics import share
 from hedonica.functions.scalars import from_log10
 from hedonica.functions.student import f_upper, t_quantile, t_two_sided
 from hedonica.operators.quantiles import exact_quantiles
+from hedonica.session import literal_rows
 
 
 def pairs(scored: DataFrame, y: str, pred: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -65,9 +66,11 @@ def line(df: DataFrame, y: str, x: str) -> DataFrame:
         F.regr_syy(yc, xc).alias("syy"),
         F.regr_sxy(yc, xc).alias("sxy"),
         F.regr_avgx(yc, xc).alias("mean_x"),
-        F.corr(yc - xc, xc).alias("corr_gap"),
+        F.regr_syy(yc - xc, xc).alias("gap_syy"),
+        F.regr_sxy(yc - xc, xc).alias("gap_sxy"),
     )
-    n, sxx, c = F.col("n"), F.col("sxx"), F.col("corr_gap")
+    n, sxx = F.col("n"), F.col("sxx")
+    shared = F.col("gap_sxy") * F.col("gap_sxy")
     ratio = F.try_divide
     return (
         sums.withColumn("mse", ratio(F.col("syy") - ratio(F.col("sxy") * F.col("sxy"), sxx), n - 2))
@@ -82,7 +85,7 @@ def line(df: DataFrame, y: str, x: str) -> DataFrame:
         .withColumn("t_intercept", ratio(F.col("intercept"), F.col("se_intercept")))
         .withColumn("adj_r2", F.lit(1.0) - ratio((F.lit(1.0) - F.col("r2")) * (n - 1), n - 2))
         .withColumn("f_line", F.col("t_slope") * F.col("t_slope"))
-        .withColumn("f_slope_is_one", ratio((n - 2) * c * c, F.lit(1.0) - c * c))
+        .withColumn("f_slope_is_one", ratio((n - 2) * shared, F.col("gap_syy") * sxx - shared))
     )
 
 
@@ -98,8 +101,8 @@ def line_summary(df: DataFrame, y: str, x: str) -> DataFrame:
     fitted = line(df, y, x).first()
     five = residual_quantiles(df, y, x, fitted["slope"], fitted["intercept"])
     names = ["res_min", "res_q1", "res_median", "res_q3", "res_max"]
-    row = Row(**fitted.asDict(), **dict(zip(names, five)))
-    return df.sparkSession.createDataFrame([row])
+    schema = "n bigint, " + ", ".join(f"{c} double" for c in [*fitted.asDict(), *names][1:])
+    return literal_rows(df.sparkSession, [(*fitted, *five)], schema)
 
 
 def tails(fitted: Row, level: float = 0.95) -> dict[str, float]:
@@ -121,8 +124,9 @@ def tails(fitted: Row, level: float = 0.95) -> dict[str, float]:
 
 
 def line_tails(df: DataFrame, y: str, x: str, level: float = 0.95) -> DataFrame:
-    fitted = line(df, y, x).first()
-    return df.sparkSession.createDataFrame([Row(**tails(fitted, level))])
+    found = tails(line(df, y, x).first(), level)
+    schema = ", ".join(f"{c} double" for c in found)
+    return literal_rows(df.sparkSession, [tuple(found.values())], schema)
 
 
 def inside_limits(df: DataFrame, columns: Sequence[str], low: float, high: float) -> DataFrame:

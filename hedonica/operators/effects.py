@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from hedonica.functions.metrics import null_count, rmse
-from hedonica.session import lookup, settled, written
+from hedonica.session import literal_rows, lookup, settled, written
 
 # Pair counting is used up to this many levels in all, so that at most half its square of
 # counters is ever brought together, and up to as many factors as a grouping id has bits.
@@ -112,26 +112,22 @@ def pair_counts(
         F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_n"), F.sum("_r").alias("_s")
     )
 
-    def set_number(columns: list[str]) -> int:
-        """The grouping id: one bit per factor, set where it is rolled up."""
-        last = len(factors) - 1
-        return sum(1 << (last - place[f]) for f in factors if f not in columns)
-
-    listed = None
+    last = len(factors) - 1
+    listed = []
     for columns, pairs in zip(sets, pairs_of):
-        entries = F.array(*[
-            F.struct(
-                F.lit(j).alias("j"), F.lit(k).alias("k"),
-                F.col(factors[j]).alias("level_j"), F.col(factors[k]).alias("level_k"),
-            )
-            for j, k in pairs
-        ])
-        listed = (F if listed is None else listed).when(
-            F.col("_set") == set_number(columns), entries
-        )
+        # The grouping id has one bit per factor, set where the factor is rolled up.
+        number = sum(1 << (last - place[f]) for f in factors if f not in columns)
+        listed += [(number, j, k) for j, k in pairs]
+    pairs = literal_rows(df.sparkSession, listed, "_of bigint, j int, k int")
+    levels = F.array(*factors)
     return (
-        cells.select(F.explode(listed).alias("p"), "_n", "_s")
-        .groupBy("p.j", "p.k", "p.level_j", "p.level_k")
+        cells.select("_set", levels.alias("_levels"), "_n", "_s")
+        .join(F.broadcast(pairs), F.col("_set") == F.col("_of"))
+        .select(
+            "j", "k", F.col("_levels")[F.col("j")].alias("level_j"),
+            F.col("_levels")[F.col("k")].alias("level_k"), "_n", "_s",
+        )
+        .groupBy("j", "k", "level_j", "level_k")
         .agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"))
     )
 
@@ -159,7 +155,8 @@ def _fit_moments(
                 left[level_k] -= rows * b[j][level_j]
         b.append({level: left[level] / rows for level, (rows, _) in own[k].items()})
         sse = max(sse - sum(rows * b[k][level] ** 2 for level, (rows, _) in own[k].items()), 0.0)
-        table = spark.createDataFrame(
+        table = literal_rows(
+            spark,
             [(level, rows, b[k][level]) for level, (rows, _) in own[k].items()],
             "level string, n bigint, b double",
         ).withColumn("level", F.col("level").cast(types[factor]))
@@ -205,14 +202,17 @@ def fit_chain(
         null_count(F.col(y)).alias("n_null"),
         F.avg(y).alias("mu"),
         F.var_pop(y).alias("spread"),
-        *[F.approx_count_distinct(f).alias(f"levels_{i}") for i, f in enumerate(factors)],
+        *[
+            F.hll_sketch_estimate(F.hll_sketch_agg(F.col(f).cast("string"))).alias(f"levels_{i}")
+            for i, f in enumerate(factors)
+        ],
     ).first()
     if first["n"] == 0:
         raise ValueError("no rows to fit")
     if first["n_null"]:
         raise ValueError(f"{y} has {first['n_null']} NULL values")
     # One more for a NULL level.
-    sizes = {f: first[f"levels_{i}"] + 1 for i, f in enumerate(factors)}
+    sizes = {f: (first[f"levels_{i}"] or 0) + 1 for i, f in enumerate(factors)}
     if method == "auto":
         few = sum(sizes.values()) <= max_levels and len(factors) <= MAX_FACTORS
         method = "moments" if few else "stepwise"
@@ -257,7 +257,8 @@ def comparison(
 ) -> DataFrame:
     """(step, model, rmse, holdout_rmse): a row per model, from the mean to all factors."""
     other = rmse_by_step(holdout, model) if holdout is not None else [None] * len(names)
-    return train.sparkSession.createDataFrame(
+    return literal_rows(
+        train.sparkSession,
         list(zip(range(len(names)), names, model.rmses(), other)),
         "step int, model string, rmse double, holdout_rmse double",
     )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hedonica.session import literal_rows
+
 
 def overview(df: DataFrame, day: Column, amount: Column) -> DataFrame:
     """One row: number of rows, first and last day, smallest and largest amount."""
@@ -63,7 +65,8 @@ def approx_level_counts(df: DataFrame, columns: Sequence[str], rsd: float = 0.05
 
 def schema_profile(df: DataFrame, factors: Sequence[str]) -> DataFrame:
     """Name, type and filled rows of each column, and the number of levels of factors."""
-    described = df.sparkSession.createDataFrame(
+    described = literal_rows(
+        df.sparkSession,
         [(i, f.name, f.dataType.simpleString(), f.name in factors)
          for i, f in enumerate(df.schema.fields, start=1)],
         "position int, column string, type string, is_factor boolean",

@@ -2,7 +2,7 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer.
 Here each pass counts rows per narrow bin (combined map-side), keeps only the bins that
-hold a wanted rank, and cuts those finer. When few rows are left in each such bin, their
+hold a wanted rank, and cuts those finer. When few rows are left in such bins, their
 distinct values are counted and ranked. All results are exact, with linear interpolation.
 """
 
@@ -10,28 +10,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hedonica.session import lookup, settled
 
 BINS = 4096
-FINISH_ROWS = 1_000_000
+# Rows left in all bins that hold a wanted rank, below which they are ranked directly.
+FINISH_ROWS = 100_000
 
 
-def running(df: DataFrame, group: Sequence[str], order: str) -> DataFrame:
-    """Rows before each bin or value, starting from the interval's own offset."""
-    upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_start", F.sum("_n").over(upto) - F.col("_n") + F.col("_below"))
-
-
-def holding_ranks(df: DataFrame) -> DataFrame:
-    """Keep the bins or values that hold a wanted rank, with those ranks only."""
-    first, past = F.col("_start"), F.col("_start") + F.col("_n")
-    return df.withColumn(
-        "_ranks", F.filter("_ranks", lambda r: (r >= first) & (r < past))
-    ).where(F.size("_ranks") > 0)
+def rank_places(probs: Sequence[float], n: Column) -> list[tuple[Column, Column, Column]]:
+    """Per probability: the rank below, the rank above, and the way between them."""
+    out = []
+    for p in probs:
+        at = F.lit(float(p)) * (n - 1)
+        below = F.floor(at).cast("bigint")
+        out.append((below, F.least(below + 1, n - 1), at - below))
+    return out
 
 
 def exact_quantiles(
@@ -44,94 +41,94 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group: its columns, n, and ``q``, the quantiles in order of ``probs``.
 
-    NULL values are left out, a NULL group is a group. ``by`` groups should number in the
-    thousands at most for the interval table to be broadcast; more still works.
+    NULL values are left out; a NULL group is a group.
     """
     keys = [f"_g{i}" for i in range(len(by))] or ["_g0"]
     group = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("_g0")]
     rows = df.select(*group, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull()
     )
-    at = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
-    low = [F.floor(h).cast("bigint") for h in at]
-    wanted = F.array_sort(F.array_distinct(F.concat(
-        F.array(*low), F.array(*[F.least(k + 1, F.col("n") - 1) for k in low])
-    )))
+    places = rank_places(probs, F.col("n"))
+    wanted = F.array_distinct(F.array(*[r for low, high, _ in places for r in (low, high)]))
+    of = {k: f"{k}_of" for k in keys}
+
     totals, totals_small = settled(
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .where(F.col("n") > 0),
+        .withColumn("_group", F.monotonically_increasing_id()),
         "quantile-totals",
     )
+    # An interval holds wanted ranks of one group; ``_below`` rows of it come before.
     intervals, small = totals.select(
-        *keys, "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"),
-        F.col("n").alias("_n"), wanted.alias("_ranks"),
+        *[F.col(k).alias(of[k]) for k in keys], "_group", F.col("_group").alias("_id"),
+        "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), F.col("n").alias("_rows"),
+        wanted.alias("_ranks"),
     ), totals_small
-
-    def rows_inside(open_: DataFrame, open_small: bool) -> DataFrame:
-        named = open_.select(
-            *[F.col(k).alias(f"{k}_of") for k in keys], "_lo", "_hi", "_below", "_ranks"
-        )
-        inside = (rows["_v"] >= named["_lo"]) & (rows["_v"] <= named["_hi"])
-        return lookup(
-            rows, named, {k: f"{k}_of" for k in keys}, open_small, "inner", inside
-        )
-
     found = []
-    interval = [*keys, "_lo"]
     while True:
         found.append(
-            intervals.where("_lo = _hi").select(*keys, F.col("_lo").alias("_v"), "_ranks")
+            intervals.where("_lo = _hi").select("_group", F.col("_lo").alias("_v"), "_ranks")
         )
-        open_ = intervals.where("_lo < _hi")
-        largest = open_.agg(F.max("_n")).first()[0]
-        if largest is None:
+        left = intervals.where("_lo < _hi")
+        size = left.agg(F.sum("_rows")).first()[0]
+        if size is None:
             break
-        near = rows_inside(open_, small)
-        if largest <= finish_rows:
-            values = near.groupBy(*interval, "_v").agg(
-                F.count(F.lit(1)).alias("_n"),
-                F.first("_below").alias("_below"),
-                F.first("_ranks").alias("_ranks"),
-            )
-            found.append(
-                holding_ranks(running(values, interval, "_v")).select(*keys, "_v", "_ranks")
-            )
-            break
-        place = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-        counts = near.groupBy(
-            *interval, F.least(F.floor(place * bins), F.lit(bins - 1)).alias("_bin")
-        ).agg(
+        inside = (rows["_v"] >= left["_lo"]) & (rows["_v"] <= left["_hi"])
+        near = lookup(
+            rows, left.select(*of.values(), "_id", "_lo", "_hi"), of, small, "inner", inside
+        )
+        finish = size <= finish_rows
+        if finish:
+            cut = F.col("_v")
+        else:
+            way = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+            cut = F.least(F.floor(way * bins), F.lit(bins - 1))
+        counts = near.groupBy("_id", cut.alias("_cut")).agg(
             F.count(F.lit(1)).alias("_n"),
-            F.min("_v").alias("_bin_lo"),
-            F.max("_v").alias("_bin_hi"),
-            F.first("_below").alias("_below"),
-            F.first("_ranks").alias("_ranks"),
+            F.min("_v").alias("_cut_lo"),
+            F.max("_v").alias("_cut_hi"),
+        )
+        # Rows of a cut, and of all cuts before it in the same interval.
+        upto = Window.partitionBy("_id").orderBy("_cut").rowsBetween(
+            Window.unboundedPreceding, 0
         )
-        intervals, small = settled(
-            holding_ranks(running(counts, interval, "_bin")).select(
-                *keys, F.col("_bin_lo").alias("_lo"), F.col("_bin_hi").alias("_hi"),
-                F.col("_start").alias("_below"), "_n", "_ranks",
-            ),
-            "quantile-bins",
+        placed = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+        named = left.select(
+            *of.values(), "_group", F.col("_id").alias("_of"), "_below", "_ranks"
         )
+        first = F.col("_below") + F.col("_before")
+        past = first + F.col("_n")
+        holding = (
+            lookup(placed, named, {"_id": "_of"}, small, "inner")
+            .withColumn("_ranks", F.filter("_ranks", lambda r: (r >= first) & (r < past)))
+            .where(F.size("_ranks") > 0)
+            .select(
+                *of.values(), "_group", F.monotonically_increasing_id().alias("_id"),
+                F.col("_cut_lo").alias("_lo"), F.col("_cut_hi").alias("_hi"),
+                first.alias("_below"), F.col("_n").alias("_rows"), "_ranks",
+            )
+        )
+        intervals, small = settled(holding, "quantile-bins")
 
     ranked = found[0]
     for part in found[1:]:
         ranked = ranked.unionByName(part)
-    # At most two ranks per probability and group are gathered.
-    values = (
-        ranked.select(*[F.col(k).alias(f"{k}_of") for k in keys], "_v",
-                      F.explode("_ranks").alias("_rank"))
-        .groupBy(*[f"{k}_of" for k in keys])
+    # At most two ranks per probability and group are brought together.
+    at_rank = (
+        ranked.select(F.col("_group").alias("_of"), "_v", F.explode("_ranks").alias("_rank"))
+        .groupBy("_of")
         .agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
     )
-    joined = lookup(values, totals, {f"{k}_of": k for k in keys}, totals_small, "inner")
-    out = []
-    for h, k in zip(at, low):
-        below = F.element_at("_at", k)
-        above = F.element_at("_at", F.least(k + 1, F.col("n") - 1))
-        out.append(below + (above - below) * (h - k))
-    return joined.select(
-        *[F.col(f"{k}_of").alias(c) for k, c in zip(keys, by)], "n", F.array(*out).alias("q")
+    q = [
+        F.element_at("_at", low)
+        + (F.element_at("_at", high) - F.element_at("_at", low)) * way
+        for low, high, way in places
+    ]
+    return (
+        at_rank.join(
+            F.broadcast(totals) if totals_small else totals,
+            at_rank["_of"] == totals["_group"],
+        )
+        .where(F.col("n") > 0)
+        .select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "n", F.array(*q).alias("q"))
     )

@@ -18,7 +18,9 @@ from pyspark.sql.window import Window
 
 from hedonica.operators.quantiles import FINISH_ROWS, exact_quantiles
 
+# Leading hexadecimal digits by which draws are counted, and rows wanted per count.
 DIGITS = 4
+ROWS_PER_COUNT = 1000
 
 
 def stratum_of(y: Column, cuts: Sequence[float]) -> Column:
@@ -83,7 +85,9 @@ def stratified_split(
         stratum_of(F.col(y), cuts).alias("stratum"), draw_of(F.col(key), seed).alias("draw")
     )
 
-    depth = DIGITS
+    depth = 1
+    while depth < DIGITS and quantiles["n"] > strata * ROWS_PER_COUNT * 16**depth:
+        depth += 1
     counts = rows.groupBy("stratum", F.substring("draw", 1, depth).alias("prefix")).agg(
         F.count(F.lit(1)).alias("n")
     )

@@ -41,14 +41,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 @query
 def raw_profile(w: Workspace) -> DataFrame:
-    return profile.overview(w.raw(), day_of(F.col("sale_ts")), clean.price_amount())
+    return profile.overview(w.raw, day_of(F.col("sale_ts")), clean.price_amount())
 
 
 @query
 def unit_buckets(w: Workspace) -> DataFrame:
     res, com = F.col("res_units"), F.col("com_units")
     return (
-        w.raw()
+        w.raw
         .select(
             bucketize(res, fixed.RES_UNIT_BUCKETS).alias("resunits"),
             bucketize(com, fixed.COM_UNIT_BUCKETS).alias("comunits"),
@@ -63,7 +63,7 @@ def unit_buckets(w: Workspace) -> DataFrame:
 def area_buckets(w: Workspace) -> DataFrame:
     land, gross = number(F.col("land_area")), number(F.col("gross_area"))
     return (
-        w.raw()
+        w.raw
         .select(
             bucketize(land, fixed.AREA_BUCKETS).alias("landareacat"),
             bucketize(gross, fixed.AREA_BUCKETS).alias("grossareacat"),
@@ -83,7 +83,7 @@ def area_buckets(w: Workspace) -> DataFrame:
 def date_parts(w: Workspace) -> DataFrame:
     sold = day_of(F.col("sale_ts"))
     return (
-        w.raw()
+        w.raw
         .select(sold.alias("sold"), weekday(sold).alias("day"), F.month(sold).alias("month"))
         .groupBy("day", "month")
         .agg(
@@ -97,7 +97,7 @@ def date_parts(w: Workspace) -> DataFrame:
 @query
 def level_codes(w: Workspace) -> DataFrame:
     return profile.level_codes(
-        w.raw(), ["borough", "hood", "land_area", "gross_area", "bldg_class_sale"]
+        w.raw, ["borough", "hood", "land_area", "gross_area", "bldg_class_sale"]
     )
 
 
@@ -140,7 +140,7 @@ def tidy(w: Workspace) -> DataFrame:
 def csv_ingest(w: Workspace) -> DataFrame:
     """Write the sales as a raw 22-column file, read it by position, clean it."""
     path = fresh_path(w.spark, "sales-file")
-    write_csv(as_sales_file(w.raw()), path)
+    write_csv(as_sales_file(w.raw), path)
     sales = read_sales(w.spark, path).withColumnRenamed("address", KEY)
     return rounded(clean.tidy(sales, [KEY]), logprice=6)
 

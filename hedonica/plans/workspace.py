@@ -1,6 +1,6 @@
 """The stages of one analysis, each computed once per application and input folder.
 
-tidy table (written) -> split rule (a few scalars) -> model (small effect tables)
+raw sales (written) -> tidy table (written) -> split rule (a few scalars) -> model (small effect tables)
 -> scored hold-out pairs (written). Stage tables lie in the shared folder as parquet.
 """
 
@@ -26,15 +26,17 @@ class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
     def raw(self) -> DataFrame:
-        return sales_raw(self.spark, self.sf_dir)
+        """The joins of the stand-in are done once, not by every query over it."""
+        return written(sales_raw(self.spark, self.sf_dir), "raw")
 
     def clean(self) -> DataFrame:
-        return first_clean(self.raw(), [KEY])
+        return first_clean(self.raw, [KEY])
 
     @cached_property
     def tidy(self) -> DataFrame:
-        return written(tidy(self.raw(), [KEY]), "tidy")
+        return written(tidy(self.raw, [KEY]), "tidy")
 
     @cached_property
     def split(self) -> Split:

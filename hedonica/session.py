@@ -6,8 +6,11 @@ import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Rows below which a lookup table is held as literal rows and broadcast.
 SMALL_ROWS = 20_000
@@ -19,6 +22,7 @@ def local_session(app: str, cpus: str = "8", partitions: int = 8) -> SparkSessio
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -54,15 +58,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def literal_rows(spark: SparkSession, rows: pa.Table | list[tuple], schema: StructType | str):
+    """A table held in the plan itself: no job to read it, and its size is known."""
+    if isinstance(rows, list):
+        names = [f.name for f in literal_schema(schema).fields]
+        rows = pa.table(
+            {name: [row[i] for row in rows] for i, name in enumerate(names)},
+            schema=to_arrow_schema(literal_schema(schema)),
+        )
+    return spark.createDataFrame(rows, schema)
+
+
+def literal_schema(schema: StructType | str) -> StructType:
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
 def settled(df: DataFrame, name: str, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Evaluate a lookup table once; also say whether it is proven small.
 
     Up to ``limit`` rows become literal rows; a larger table is written out whole.
     """
-    spark = df.sparkSession
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return spark.createDataFrame(rows, df.schema), True
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows <= limit:
+        return literal_rows(df.sparkSession, rows, df.schema), True
     return written(df, name), False
 
 
