@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,41 +30,56 @@ def axis_place(axis: Mapping[str, Sequence[str]]) -> Column:
     return out
 
 
-def _boxes(long: DataFrame, y: str, coef: float) -> tuple[DataFrame, bool]:
-    """Quartiles and fences per (factor, level)."""
-    q = exact_quantiles(long, y, [0.25, 0.5, 0.75], by=["factor", "level"])
-    reach = F.lit(coef) * (F.col("q3") - F.col("q1"))
-    boxes = (
-        q.select("factor", "level", "n", F.col("q")[0].alias("q1"),
-                 F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-        .withColumn("fence_low", F.col("q1") - reach)
-        .withColumn("fence_high", F.col("q3") + reach)
-    )
-    return settled(boxes, "boxes")
+@dataclass(frozen=True)
+class Boxes:
+    """The points per factor and level, and each level's quartiles and fences."""
+
+    y: str
+    axis: Mapping[str, Sequence[str]]
+    points: DataFrame
+    table: DataFrame
+    small: bool
 
+    def joined(self, df: DataFrame, *columns: str) -> DataFrame:
+        named = self.table.select(
+            F.col("factor").alias("_factor"), F.col("level").alias("_level"), *columns
+        )
+        return lookup(df, named, {"factor": "_factor", "level": "_level"}, self.small, "inner")
 
-def _with_boxes(long: DataFrame, boxes: DataFrame, small: bool) -> DataFrame:
-    named = boxes.withColumnsRenamed({"factor": "_factor", "level": "_level"})
-    return lookup(long, named, {"factor": "_factor", "level": "_level"}, small, "inner")
+    def inside(self) -> Column:
+        return F.col(self.y).between(F.col("fence_low"), F.col("fence_high"))
 
 
-def box_stats(
+def boxes(
     df: DataFrame,
     y: str,
     factors: Sequence[str],
     axis: Mapping[str, Sequence[str]] = {},
+    key: str | None = None,
     coef: float = 1.5,
-) -> DataFrame:
+) -> Boxes:
+    """Quartiles per level of every factor, and fences ``coef`` quartile ranges away."""
+    points = long_form(df, factors, [key, y] if key else [y]).where(shown(axis))
+    reach = F.lit(coef) * (F.col("q3") - F.col("q1"))
+    table, small = settled(
+        exact_quantiles(points, y, [0.25, 0.5, 0.75], by=["factor", "level"])
+        .select("factor", "level", "n", F.col("q")[0].alias("q1"),
+                F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+        .withColumn("fence_low", F.col("q1") - reach)
+        .withColumn("fence_high", F.col("q3") + reach),
+        "boxes",
+    )
+    return Boxes(y, axis, points, table, small)
+
+
+def box_stats(found: Boxes) -> DataFrame:
     """One row per (factor, level): n, quartiles, whiskers, number of outliers.
 
-    Whiskers reach the outermost values within ``coef`` quartile ranges of the box.
+    Whiskers reach the outermost values within the fences.
     """
-    long = long_form(df, factors, [y]).where(shown(axis))
-    boxes, small = _boxes(long, y, coef)
-    value = F.col(y)
-    inside = value.between(F.col("fence_low"), F.col("fence_high"))
+    value, inside = F.col(found.y), found.inside()
     ends = (
-        _with_boxes(long, boxes.select("factor", "level", "fence_low", "fence_high"), small)
+        found.joined(found.points, "fence_low", "fence_high")
         .groupBy("factor", "level")
         .agg(
             F.min(F.when(inside, value)).alias("inner_low"),
@@ -71,10 +87,10 @@ def box_stats(
             F.count_if(~inside).alias("n_outliers"),
         )
     )
-    return _with_boxes(ends, boxes, small).select(
+    return found.joined(ends, "n", "q1", "median", "q3").select(
         "factor",
         "level",
-        axis_place(axis).alias("place"),
+        axis_place(found.axis).alias("place"),
         "n",
         F.least("q1", "inner_low").alias("whisker_low"),
         "q1",
@@ -85,19 +101,10 @@ def box_stats(
     )
 
 
-def box_outliers(
-    df: DataFrame,
-    y: str,
-    key: str,
-    factors: Sequence[str],
-    axis: Mapping[str, Sequence[str]] = {},
-    coef: float = 1.5,
-) -> DataFrame:
-    """The points drawn beyond the whiskers: (key, factor, level, value)."""
-    long = long_form(df, factors, [key, y]).where(shown(axis))
-    boxes, small = _boxes(long, y, coef)
+def box_outliers(found: Boxes) -> DataFrame:
+    """The points drawn beyond the whiskers."""
     return (
-        _with_boxes(long, boxes.select("factor", "level", "fence_low", "fence_high"), small)
-        .where(~F.col(y).between(F.col("fence_low"), F.col("fence_high")))
-        .select(key, "factor", "level", y)
+        found.joined(found.points, "fence_low", "fence_high")
+        .where(~found.inside())
+        .drop("fence_low", "fence_high")
     )

@@ -1,9 +1,10 @@
 """Exact quantiles of any number of groups, without gathering a group in one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer.
-Here each pass counts rows per narrow bin (combined map-side), keeps only the bins that
-hold a wanted rank, and cuts those finer. When few rows are left in such bins, their
-distinct values are counted and ranked. All results are exact, with linear interpolation.
+Here a first pass counts the rows of each group per narrow bin (combined map-side) and
+keeps only the bins that hold a wanted rank. Later passes cut those bins finer, until few
+rows are left in them; then their distinct values are counted and ranked. All results are
+exact, with linear interpolation.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 
 from hedonica.session import lookup, settled
 
-BINS = 4096
+BINS = 1024
 # Rows left in all bins that hold a wanted rank, below which they are ranked directly.
 FINISH_ROWS = 100_000
 
@@ -31,6 +32,34 @@ def rank_places(probs: Sequence[float], n: Column) -> list[tuple[Column, Column,
     return out
 
 
+def cell(value: Column, low: Column, high: Column, bins: int) -> Column:
+    """Bin of a value within [low, high]; never falls as the value grows."""
+    way = F.try_divide(value - low, high - low)
+    return F.coalesce(F.least(F.floor(way * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+
+
+def counted(rows: DataFrame, *by: Column | str) -> DataFrame:
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    )
+
+
+def before(group: Sequence[str], order: str) -> Column:
+    """Rows in the cuts before this one."""
+    upto = Window.partitionBy(*group).orderBy(order)
+    return F.sum("_rows").over(
+        upto.rowsBetween(Window.unboundedPreceding, 0)
+    ) - F.col("_rows")
+
+
+def holding_ranks(cuts: DataFrame) -> DataFrame:
+    """The cuts that hold a wanted rank, with those ranks only."""
+    first, past = F.col("_below"), F.col("_below") + F.col("_rows")
+    return cuts.withColumn(
+        "_ranks", F.filter("_ranks", lambda r: (r >= first) & (r < past))
+    ).where(F.size("_ranks") > 0)
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -48,87 +77,69 @@ def exact_quantiles(
     rows = df.select(*group, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull()
     )
+    span = rows.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
+    low, high = F.lit(span["lo"]).cast("double"), F.lit(span["hi"]).cast("double")
+    rows = rows.withColumn("_bin", cell(F.col("_v"), low, high, bins))
     places = rank_places(probs, F.col("n"))
-    wanted = F.array_distinct(F.array(*[r for low, high, _ in places for r in (low, high)]))
-    of = {k: f"{k}_of" for k in keys}
-
-    totals, totals_small = settled(
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .withColumn("_group", F.monotonically_increasing_id()),
-        "quantile-totals",
+    wanted = F.array_distinct(F.array(*[r for below, above, _ in places for r in (below, above)]))
+
+    # An interval is a cut of one group that holds wanted ranks; ``_below`` of the group's
+    # rows come before it.
+    state = [*keys, "n", "_bin", "_lo", "_hi", "_below", "_rows", "_ranks"]
+    cuts = (
+        counted(rows, *keys, "_bin")
+        .withColumn("n", F.sum("_rows").over(Window.partitionBy(*keys)))
+        .withColumn("_below", before(keys, "_bin"))
+        .withColumn("_ranks", wanted)
     )
-    # An interval holds wanted ranks of one group; ``_below`` rows of it come before.
-    intervals, small = totals.select(
-        *[F.col(k).alias(of[k]) for k in keys], "_group", F.col("_group").alias("_id"),
-        "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), F.col("n").alias("_rows"),
-        wanted.alias("_ranks"),
-    ), totals_small
     found = []
     while True:
-        found.append(
-            intervals.where("_lo = _hi").select("_group", F.col("_lo").alias("_v"), "_ranks")
+        numbered = holding_ranks(cuts).select(
+            *state, F.monotonically_increasing_id().alias("_id")
         )
+        intervals, small = settled(numbered, "quantile-intervals")
+        found.append(intervals.where("_lo = _hi").select(*keys, "n", "_lo", "_ranks"))
         left = intervals.where("_lo < _hi")
-        size = left.agg(F.sum("_rows")).first()[0]
-        if size is None:
+        sizes = left.select("_rows") if small else left.agg(F.sum("_rows"))
+        size = sum(r[0] or 0 for r in sizes.collect())
+        if size == 0:
             break
+        named = left.withColumnsRenamed({k: f"{k}_of" for k in [*keys, "_bin"]})
         inside = (rows["_v"] >= left["_lo"]) & (rows["_v"] <= left["_hi"])
         near = lookup(
-            rows, left.select(*of.values(), "_id", "_lo", "_hi"), of, small, "inner", inside
+            rows,
+            named.select(*[f"{k}_of" for k in [*keys, "_bin"]], "_id", "_lo", "_hi"),
+            {k: f"{k}_of" for k in [*keys, "_bin"]},
+            small,
+            "inner",
+            inside,
         )
-        finish = size <= finish_rows
-        if finish:
+        if size <= finish_rows:
             cut = F.col("_v")
         else:
-            way = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-            cut = F.least(F.floor(way * bins), F.lit(bins - 1))
-        counts = near.groupBy("_id", cut.alias("_cut")).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_v").alias("_cut_lo"),
-            F.max("_v").alias("_cut_hi"),
+            cut = cell(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)
+        finer = counted(near, "_id", cut.alias("_cut")).withColumn(
+            "_before", before(["_id"], "_cut")
         )
-        # Rows of a cut, and of all cuts before it in the same interval.
-        upto = Window.partitionBy("_id").orderBy("_cut").rowsBetween(
-            Window.unboundedPreceding, 0
+        whole = left.select(*keys, "n", "_bin", "_below", "_ranks", F.col("_id").alias("_of"))
+        cuts = lookup(finer, whole, {"_id": "_of"}, small, "inner").withColumn(
+            "_below", F.col("_below") + F.col("_before")
         )
-        placed = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
-        named = left.select(
-            *of.values(), "_group", F.col("_id").alias("_of"), "_below", "_ranks"
-        )
-        first = F.col("_below") + F.col("_before")
-        past = first + F.col("_n")
-        holding = (
-            lookup(placed, named, {"_id": "_of"}, small, "inner")
-            .withColumn("_ranks", F.filter("_ranks", lambda r: (r >= first) & (r < past)))
-            .where(F.size("_ranks") > 0)
-            .select(
-                *of.values(), "_group", F.monotonically_increasing_id().alias("_id"),
-                F.col("_cut_lo").alias("_lo"), F.col("_cut_hi").alias("_hi"),
-                first.alias("_below"), F.col("_n").alias("_rows"), "_ranks",
-            )
-        )
-        intervals, small = settled(holding, "quantile-bins")
 
     ranked = found[0]
     for part in found[1:]:
         ranked = ranked.unionByName(part)
     # At most two ranks per probability and group are brought together.
     at_rank = (
-        ranked.select(F.col("_group").alias("_of"), "_v", F.explode("_ranks").alias("_rank"))
-        .groupBy("_of")
-        .agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+        ranked.select(*keys, "n", "_lo", F.explode("_ranks").alias("_rank"))
+        .groupBy(*keys, "n")
+        .agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_lo"))).alias("_at"))
     )
     q = [
-        F.element_at("_at", low)
-        + (F.element_at("_at", high) - F.element_at("_at", low)) * way
-        for low, high, way in places
+        F.element_at("_at", below)
+        + (F.element_at("_at", above) - F.element_at("_at", below)) * way
+        for below, above, way in places
     ]
-    return (
-        at_rank.join(
-            F.broadcast(totals) if totals_small else totals,
-            at_rank["_of"] == totals["_group"],
-        )
-        .where(F.col("n") > 0)
-        .select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "n", F.array(*q).alias("q"))
+    return at_rank.select(
+        *[F.col(k).alias(c) for k, c in zip(keys, by)], "n", F.array(*q).alias("q")
     )

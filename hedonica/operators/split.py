@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hedonica.operators.quantiles import FINISH_ROWS, exact_quantiles
+from hedonica.operators.quantiles import BINS, FINISH_ROWS, exact_quantiles
 
 # Leading hexadecimal digits by which draws are counted, and rows wanted per count.
 DIGITS = 4
@@ -73,7 +73,7 @@ def stratified_split(
     seed: int,
     strata: int = 4,
     finish_rows: int = FINISH_ROWS,
-    bins: int = 4096,
+    bins: int = BINS,
 ) -> Split:
     """Fit the split. ``key`` must be unique and ``y`` must not be NULL."""
     probs = [i / strata for i in range(1, strata)]

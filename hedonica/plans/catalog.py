@@ -186,14 +186,13 @@ def hist_abs_error(w: Workspace) -> DataFrame:
 
 @query
 def box_stats(w: Workspace) -> DataFrame:
-    stats = boxplot.box_stats(w.tidy, Y, fixed.FACTORS, fixed.AXIS_LEVELS)
+    stats = boxplot.box_stats(w.boxes)
     return rounded(stats, whisker_low=6, q1=6, median=6, q3=6, whisker_high=6)
 
 
 @query
 def box_outliers(w: Workspace) -> DataFrame:
-    points = boxplot.box_outliers(w.tidy, Y, KEY, fixed.FACTORS, fixed.AXIS_LEVELS)
-    return rounded(points, logprice=6)
+    return rounded(boxplot.box_outliers(w.boxes), logprice=6)
 
 
 @query

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedonica import fixed_values as fixed
+from hedonica.operators.boxplot import Boxes, boxes
 from hedonica.operators.clean import first_clean, tidy
 from hedonica.operators.diagnose import pairs, price_error
 from hedonica.operators.effects import EffectModel, fit_chain, predict
@@ -38,6 +39,10 @@ class Workspace:
     def tidy(self) -> DataFrame:
         return written(tidy(self.raw, [KEY]), "tidy")
 
+    @cached_property
+    def boxes(self) -> Boxes:
+        return boxes(self.tidy, Y, fixed.FACTORS, fixed.AXIS_LEVELS, KEY)
+
     @cached_property
     def split(self) -> Split:
         return stratified_split(

@@ -76,7 +76,8 @@ def test_box_statistics_per_level(spark):
     rows = [("hot" if i % 3 else None, i % 2, float(v)) for i, v in enumerate(rng.standard_t(2, 900))]
     df = spark.createDataFrame(rows, "f string, g int, y double")
     df = df.withColumn("key", F.monotonically_increasing_id())
-    out = boxplot.box_stats(df, "y", ["f", "g"], {"g": ["1", "0"]}).collect()
+    found = boxplot.boxes(df, "y", ["f", "g"], {"g": ["1", "0"]}, "key")
+    out = boxplot.box_stats(found).collect()
     assert {(r["factor"], r["level"], r["place"]) for r in out} == {
         ("f", "hot", None), ("f", None, None), ("g", "0", 2), ("g", "1", 1),
     }
@@ -90,11 +91,11 @@ def test_box_statistics_per_level(spark):
         assert (r["q1"], r["median"], r["q3"]) == pytest.approx((q1, median, q3))
         assert (r["whisker_low"], r["whisker_high"]) == (values[ok].min(), values[ok].max())
         outside += r["n_outliers"]
-    points = boxplot.box_outliers(df, "y", "key", ["f", "g"], {"g": ["1", "0"]})
-    assert points.count() == outside
+    points = boxplot.box_outliers(found)
+    assert points.columns == ["key", "y", "factor", "level"] and points.count() == outside
 
 
 def test_levels_off_the_axis_are_left_out(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 3.0)], "f string, y double")
-    out = boxplot.box_stats(df, "y", ["f"], {"f": ["b"]}).collect()
+    out = boxplot.box_stats(boxplot.boxes(df, "y", ["f"], {"f": ["b"]})).collect()
     assert [(r["level"], r["place"]) for r in out] == [("b", 1)]
