@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from hedonica.functions.metrics import share
 from hedonica.functions.scalars import from_log10
 from hedonica.functions.student import f_upper, t_quantile, t_two_sided
 from hedonica.operators.quantiles import exact_quantiles
-from hedonica.session import literal_rows
+from hedonica.session import literal_rows, settled
 
 
 def pairs(scored: DataFrame, y: str, pred: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -28,17 +30,23 @@ def pairs(scored: DataFrame, y: str, pred: str, keep: Sequence[str] = ()) -> Dat
     )
 
 
-def price_error(df: DataFrame, value: str) -> DataFrame:
-    """One row: mean, sample deviation, rows, standard error and twice that."""
-    return df.agg(
+def error_sums(value: Column) -> list[Column]:
+    return [
         F.avg(value).alias("mean_price"),
         F.stddev_samp(value).alias("sd_price"),
         F.count(F.lit(1)).alias("n_price"),
-    ).select(
-        "*",
-        (F.col("sd_price") / F.sqrt("n_price")).alias("se1"),
-        (F.col("sd_price") / F.sqrt("n_price") * 2).alias("se2"),
-    )
+    ]
+
+
+def error_statistics(sums: DataFrame) -> DataFrame:
+    """Add the standard error of the mean, and twice that."""
+    se = F.col("sd_price") / F.sqrt("n_price")
+    return sums.withColumn("se1", se).withColumn("se2", se * 2)
+
+
+def price_error(df: DataFrame, value: str) -> DataFrame:
+    """One row: mean, sample deviation, rows, standard error and twice that."""
+    return error_statistics(df.agg(*error_sums(F.col(value))))
 
 
 def coverage(df: DataFrame, diff: str, se1: float, se2: float, nulls: str = "propagate"):
@@ -51,36 +59,37 @@ def coverage(df: DataFrame, diff: str, se1: float, se2: float, nulls: str = "pro
     )
 
 
-def line(df: DataFrame, y: str, x: str) -> DataFrame:
-    """One row: least-squares line of y on x; pairs with a NULL are left out.
+def line_sums(y: Column, x: Column, prefix: str = "") -> list[Column]:
+    sums = {
+        "n": F.regr_count(y, x),
+        "slope": F.regr_slope(y, x),
+        "intercept": F.regr_intercept(y, x),
+        "r2": F.regr_r2(y, x),
+        "sxx": F.regr_sxx(y, x),
+        "syy": F.regr_syy(y, x),
+        "sxy": F.regr_sxy(y, x),
+        "mean_x": F.regr_avgx(y, x),
+        "gap_syy": F.regr_syy(y - x, x),
+        "gap_sxy": F.regr_sxy(y - x, x),
+    }
+    return [value.alias(prefix + name) for name, value in sums.items()]
+
+
+def line_statistics(sums: DataFrame) -> DataFrame:
+    """Add errors, t and F statistics to the sums of a line.
 
     The slope's distance from one is tested through the correlation of y - x with x.
     """
-    yc, xc = F.col(y), F.col(x)
-    sums = df.agg(
-        F.regr_count(yc, xc).alias("n"),
-        F.regr_slope(yc, xc).alias("slope"),
-        F.regr_intercept(yc, xc).alias("intercept"),
-        F.regr_r2(yc, xc).alias("r2"),
-        F.regr_sxx(yc, xc).alias("sxx"),
-        F.regr_syy(yc, xc).alias("syy"),
-        F.regr_sxy(yc, xc).alias("sxy"),
-        F.regr_avgx(yc, xc).alias("mean_x"),
-        F.regr_syy(yc - xc, xc).alias("gap_syy"),
-        F.regr_sxy(yc - xc, xc).alias("gap_sxy"),
-    )
     n, sxx = F.col("n"), F.col("sxx")
     shared = F.col("gap_sxy") * F.col("gap_sxy")
     ratio = F.try_divide
+    mse = ratio(F.col("syy") - ratio(F.col("sxy") * F.col("sxy"), sxx), n - 2)
+    at_zero = ratio(F.lit(1.0), n) + ratio(F.col("mean_x") * F.col("mean_x"), sxx)
     return (
-        sums.withColumn("mse", ratio(F.col("syy") - ratio(F.col("sxy") * F.col("sxy"), sxx), n - 2))
+        sums.withColumn("mse", mse)
         .withColumn("rse", F.sqrt("mse"))
         .withColumn("se_slope", F.sqrt(ratio(F.col("mse"), sxx)))
-        .withColumn(
-            "se_intercept",
-            F.sqrt(F.col("mse") * (ratio(F.lit(1.0), n)
-                                   + ratio(F.col("mean_x") * F.col("mean_x"), sxx))),
-        )
+        .withColumn("se_intercept", F.sqrt(F.col("mse") * at_zero))
         .withColumn("t_slope", ratio(F.col("slope"), F.col("se_slope")))
         .withColumn("t_intercept", ratio(F.col("intercept"), F.col("se_intercept")))
         .withColumn("adj_r2", F.lit(1.0) - ratio((F.lit(1.0) - F.col("r2")) * (n - 1), n - 2))
@@ -89,6 +98,25 @@ def line(df: DataFrame, y: str, x: str) -> DataFrame:
     )
 
 
+def line(df: DataFrame, y: str, x: str) -> DataFrame:
+    """One row: least-squares line of y on x; pairs with a NULL are left out."""
+    return line_statistics(df.agg(*line_sums(F.col(y), F.col(x))))
+
+
+PLOTTED = "plotted_"
+
+
+def judgement(df: DataFrame, value: str, y: str, x: str, low: float, high: float) -> DataFrame:
+    """One row from one scan: price error, line, and the line of the points inside limits."""
+    inside = within_limits([y, x], low, high)
+    sums = df.agg(
+        *error_sums(F.col(value)),
+        *line_sums(F.col(y), F.col(x)),
+        *line_sums(F.when(inside, F.col(y)), F.when(inside, F.col(x)), PLOTTED),
+    )
+    return settled(line_statistics(error_statistics(sums)), "judgement")[0]
+
+
 def residual_quantiles(df: DataFrame, y: str, x: str, slope: float, intercept: float) -> list:
     """Least, quartiles and greatest residual of a line."""
     residual = F.col(y) - (F.lit(intercept) + F.lit(slope) * F.col(x))
@@ -96,13 +124,16 @@ def residual_quantiles(df: DataFrame, y: str, x: str, slope: float, intercept: f
     return list(row["q"]) if row is not None else [None] * 5
 
 
-def line_summary(df: DataFrame, y: str, x: str) -> DataFrame:
+FIVE_NUMBERS = ["res_min", "res_q1", "res_median", "res_q3", "res_max"]
+
+
+def line_summary(df: DataFrame, y: str, x: str, fitted: DataFrame | None = None) -> DataFrame:
     """The line's one row plus the five-number summary of its residuals."""
-    fitted = line(df, y, x).first()
-    five = residual_quantiles(df, y, x, fitted["slope"], fitted["intercept"])
-    names = ["res_min", "res_q1", "res_median", "res_q3", "res_max"]
-    schema = "n bigint, " + ", ".join(f"{c} double" for c in [*fitted.asDict(), *names][1:])
-    return literal_rows(df.sparkSession, [(*fitted, *five)], schema)
+    fitted = line(df, y, x) if fitted is None else fitted
+    row = fitted.first()
+    five = residual_quantiles(df, y, x, row["slope"], row["intercept"])
+    schema = StructType(fitted.schema.fields + [StructField(c, DoubleType()) for c in FIVE_NUMBERS])
+    return literal_rows(df.sparkSession, [(*row, *five)], schema)
 
 
 def tails(fitted: Row, level: float = 0.95) -> dict[str, float]:
@@ -123,15 +154,14 @@ def tails(fitted: Row, level: float = 0.95) -> dict[str, float]:
     }
 
 
-def line_tails(df: DataFrame, y: str, x: str, level: float = 0.95) -> DataFrame:
-    found = tails(line(df, y, x).first(), level)
+def line_tails(fitted: DataFrame, level: float = 0.95) -> DataFrame:
+    """p-values and confidence limits as a row, from the row of ``line``."""
+    found = tails(fitted.first(), level)
     schema = ", ".join(f"{c} double" for c in found)
-    return literal_rows(df.sparkSession, [tuple(found.values())], schema)
+    return literal_rows(fitted.sparkSession, [tuple(found.values())], schema)
 
 
-def inside_limits(df: DataFrame, columns: Sequence[str], low: float, high: float) -> DataFrame:
-    """Rows whose values all lie within axis limits given in plain units of log10 columns."""
-    out = df
-    for c in columns:
-        out = out.where(F.col(c).between(math.log10(low), math.log10(high)))
-    return out
+def within_limits(columns: Sequence[str], low: float, high: float) -> Column:
+    """All values lie within axis limits, given in plain units of log10 columns."""
+    ends = math.log10(low), math.log10(high)
+    return reduce(lambda a, b: a & b, [F.col(c).between(*ends) for c in columns])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hedonica.session import literal_rows
+from hedonica.session import literal_rows, settled
 
 
 def overview(df: DataFrame, day: Column, amount: Column) -> DataFrame:
@@ -96,9 +96,10 @@ def level_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Distinct levels are ranked within their two leading characters and offset by the
     number of levels sorted before, so a long level list is not ranked in one task.
     """
-    distinct = (
+    distinct, _ = settled(
         levels(df, columns).where(F.col("level").isNotNull())
-        .select("factor", "level", F.substring("level", 1, 2).alias("lead"))
+        .select("factor", "level", F.substring("level", 1, 2).alias("lead")),
+        "levels",
     )
     before = Window.partitionBy("factor").orderBy("lead")
     offsets = (

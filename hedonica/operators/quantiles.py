@@ -9,6 +9,7 @@ exact, with linear interpolation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -70,7 +71,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group: its columns, n, and ``q``, the quantiles in order of ``probs``.
 
-    NULL values are left out; a NULL group is a group.
+    NULL values are left out; a NULL group is a group. Values must be finite.
     """
     keys = [f"_g{i}" for i in range(len(by))] or ["_g0"]
     group = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("_g0")]
@@ -78,6 +79,8 @@ def exact_quantiles(
         F.col("_v").isNotNull()
     )
     span = rows.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
+    if span["lo"] is not None and not math.isfinite(span["hi"] - span["lo"]):
+        raise ValueError(f"{value} has NaN or infinite values")
     low, high = F.lit(span["lo"]).cast("double"), F.lit(span["hi"]).cast("double")
     rows = rows.withColumn("_bin", cell(F.col("_v"), low, high, bins))
     places = rank_places(probs, F.col("n"))

@@ -23,16 +23,22 @@ DIGITS = 4
 ROWS_PER_COUNT = 1000
 
 
-def stratum_of(y: Column, cuts: Sequence[float]) -> Column:
-    """1 up to the first cut, 2 up to the second, and so on; cuts belong below."""
-    out = F.when(y <= cuts[0], 1) if cuts else F.when(y.isNotNull(), 1)
-    for i, cut in enumerate(cuts[1:], start=2):
-        out = out.when(y <= cut, i)
-    if cuts:
-        out = out.when(y > cuts[-1], len(cuts) + 1)
+def by_stratum(y: Column, cuts: Sequence[float], results: Sequence) -> Column:
+    """The result of the stratum of y: first up to the first cut, and so on.
+
+    Cuts belong to the stratum below; a missing y has no stratum.
+    """
+    bounds = [y <= cut for cut in cuts] + [y.isNotNull()]
+    out = None
+    for bound, result in zip(bounds, results):
+        out = (F if out is None else out).when(bound, result)
     return out
 
 
+def stratum_of(y: Column, cuts: Sequence[float]) -> Column:
+    return by_stratum(y, cuts, range(1, len(cuts) + 2))
+
+
 def draw_of(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
@@ -52,11 +58,10 @@ class Split:
         return stratum_of(F.col(self.y), self.cuts)
 
     def taken(self) -> Column:
-        draw, stratum = draw_of(F.col(self.key), self.seed), self.stratum()
-        out = None
-        for s, last in self.last_draw.items():
-            out = (F if out is None else out).when(stratum == s, draw <= last)
-        return out
+        draw = draw_of(F.col(self.key), self.seed)
+        strata = range(1, len(self.cuts) + 2)
+        taken = [draw <= self.last_draw[s] if s in self.last_draw else F.lit(False) for s in strata]
+        return by_stratum(F.col(self.y), self.cuts, taken)
 
     def train(self, df: DataFrame) -> DataFrame:
         return df.where(self.taken())

@@ -272,15 +272,14 @@ def valcomp(w: Workspace) -> DataFrame:
 
 @query
 def price_se(w: Workspace) -> DataFrame:
-    return rounded(
-        diagnose.price_error(w.pairs, "price"), mean_price=4, sd_price=4, se1=4, se2=4
-    )
+    errors = w.judgement.select("mean_price", "sd_price", "n_price", "se1", "se2")
+    return rounded(errors, mean_price=4, sd_price=4, se1=4, se2=4)
 
 
 @query
 def se_coverage(w: Workspace) -> DataFrame:
     return rounded(
-        diagnose.coverage(w.pairs, "diff", *w.standard_errors), within_1se=6, within_2se=6
+        diagnose.coverage(w.pairs, "diff", *w.standard_errors()), within_1se=6, within_2se=6
     )
 
 
@@ -288,7 +287,6 @@ LINE_COLUMNS = [
     "n", "slope", "intercept", "r2", "adj_r2", "rse", "se_slope", "se_intercept",
     "t_slope", "t_intercept", "f_line",
 ]
-FIVE_NUMBERS = ["res_min", "res_q1", "res_median", "res_q3", "res_max"]
 
 
 def rounded_line(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -297,21 +295,23 @@ def rounded_line(df: DataFrame, columns: list[str]) -> DataFrame:
 
 @query
 def regression(w: Workspace) -> DataFrame:
-    return rounded_line(diagnose.line_summary(w.pairs, Y, PRED), LINE_COLUMNS + FIVE_NUMBERS)
+    summary = diagnose.line_summary(w.pairs, Y, PRED, w.judgement)
+    return rounded_line(summary, LINE_COLUMNS + diagnose.FIVE_NUMBERS)
 
 
 @query
 def regression_plotted(w: Workspace) -> DataFrame:
-    plotted = diagnose.inside_limits(w.pairs, [Y, PRED], *fixed.SCATTER_LIMITS)
-    return rounded_line(diagnose.line(plotted, Y, PRED), ["n", "slope", "intercept", "r2"])
+    columns = ["n", "slope", "intercept", "r2"]
+    plotted = w.judgement.select(*[F.col(diagnose.PLOTTED + c).alias(c) for c in columns])
+    return rounded_line(plotted, columns)
 
 
 @query
 def slope_test(w: Workspace) -> DataFrame:
-    return rounded_line(diagnose.line(w.pairs, Y, PRED), ["n", "slope", "f_slope_is_one"])
+    return rounded_line(w.judgement, ["n", "slope", "f_slope_is_one"])
 
 
 @query
 def regression_tails(w: Workspace) -> DataFrame:
-    out = diagnose.line_tails(w.pairs, Y, PRED)
+    out = diagnose.line_tails(w.judgement)
     return rounded(out, **{c: 6 for c in out.columns})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hedonica import fixed_values as fixed
 from hedonica.operators.boxplot import Boxes, boxes
 from hedonica.operators.clean import first_clean, tidy
-from hedonica.operators.diagnose import pairs, price_error
+from hedonica.operators.diagnose import judgement, pairs
 from hedonica.operators.effects import EffectModel, fit_chain, predict
 from hedonica.operators.split import Split, stratified_split
 from hedonica.session import written
@@ -67,9 +67,11 @@ class Workspace:
         return written(pairs(self.scored(), Y, PRED, [KEY]), "pairs")
 
     @cached_property
+    def judgement(self) -> DataFrame:
+        return judgement(self.pairs, "price", Y, PRED, *fixed.SCATTER_LIMITS)
+
     def standard_errors(self) -> tuple[float, float]:
-        row = price_error(self.pairs, "price").select("se1", "se2").first()
-        return row["se1"], row["se2"]
+        return tuple(self.judgement.select("se1", "se2").first())
 
 
 _open: dict[tuple[str, str], Workspace] = {}

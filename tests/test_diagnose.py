@@ -29,7 +29,7 @@ def test_line_leaves_out_missing_pairs(spark):
 
 def test_line_summary_equals_the_ml_summary(spark, points):
     fitted = diagnose.line_summary(points, "y", "x").first()
-    tails = diagnose.line_tails(points, "y", "x").first()
+    tails = diagnose.line_tails(diagnose.line(points, "y", "x")).first()
     table = VectorAssembler(inputCols=["x"], outputCol="f").transform(points)
     ml = LinearRegression(featuresCol="f", labelCol="y", solver="normal").fit(table).summary
     assert fitted["slope"] == pytest.approx(ml._call_java("tValues")[0] * ml.coefficientStandardErrors[0])
@@ -107,4 +107,17 @@ def test_pairs_errors_and_coverage(spark):
 
 def test_axis_limits_drop_points(spark):
     df = spark.createDataFrame([(4.0, 4.0), (3.9, 5.0), (9.4, 5.0)], "y double, p double")
-    assert diagnose.inside_limits(df, ["y", "p"], 1e4, 2.2e9).count() == 1
+    assert df.where(diagnose.within_limits(["y", "p"], 1e4, 2.2e9)).count() == 1
+
+
+def test_judgement_is_one_scan_with_the_parts_equal(spark, points):
+    df = points.withColumn("price", F.pow(F.lit(10.0), "y"))
+    row = diagnose.judgement(df, "price", "y", "x", 1e4, 1e5).first().asDict()
+    errors = diagnose.price_error(df, "price").first().asDict()
+    line = diagnose.line(df, "y", "x").first().asDict()
+    plotted = diagnose.line(df.where("x between 4 and 5 and y between 4 and 5"), "y", "x").first()
+    for name, value in {**errors, **line}.items():
+        assert row[name] == pytest.approx(value)
+    assert 0 < plotted["n"] < 400
+    for name in ("n", "slope", "intercept", "r2"):
+        assert row["plotted_" + name] == pytest.approx(plotted[name])

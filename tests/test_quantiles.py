@@ -47,3 +47,10 @@ def test_agrees_with_percentile(spark):
 def test_no_values(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert exact_quantiles(df, "v", PROBS).collect() == []
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf")])
+def test_values_must_be_finite(spark, bad):
+    df = spark.createDataFrame([(1.0,), (bad,)], "v double")
+    with pytest.raises(ValueError, match="NaN or infinite"):
+        exact_quantiles(df, "v", PROBS)
