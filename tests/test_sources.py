@@ -10,7 +10,7 @@ from hedonica.sources.sales_csv import (
 
 HEADER = [f"COLUMN {i}" for i in range(22)]
 ROW = [
-    "4", "1", "ALPHABET CITY", "07 RENTALS", "2A", "392", "6", " ", "C2", "153 AVENUE B", " ",
+    "4", "1", "OLD TOWN", "RENTALS", "2A", "39", "6", " ", "C2", "15 FIRST STREET", " ",
     "10009", "5", "0", "5", "1633", "6440", "1900", "2", "C2", "6625000", "2017-07-19 00:00:00",
 ]
 
