@@ -107,6 +107,11 @@ def exact_quantiles(
         size = sum(r[0] or 0 for r in sizes.collect())
         if size == 0:
             break
+        if small:
+            # Bins are numbered alike for all groups, so this reaches the scan's rows
+            # before they are spread over groups; at most ``bins`` numbers are listed.
+            hit = sorted({r["_bin"] for r in left.select("_bin").collect()})
+            rows = rows.where(F.col("_bin").isin(*hit))
         named = left.withColumnsRenamed({k: f"{k}_of" for k in [*keys, "_bin"]})
         inside = (rows["_v"] >= left["_lo"]) & (rows["_v"] <= left["_hi"])
         near = lookup(
