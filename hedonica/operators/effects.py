@@ -10,6 +10,8 @@ Two fits give the same numbers:
   levels, and the sums of y per level. Both come from one scan. Factors are put in blocks,
   so that one row updates one counter per pair of blocks instead of one per pair of
   factors, and each counter table stays small enough to be combined map-side.
+  The error after step k is the error before less the rows times the squared effects, so a
+  fit without any error left shows rounding noise of about 1e-8 instead of zero.
 * ``stepwise``: one aggregation and one lookup join per factor, for factors with more
   levels than a pair table may hold.
 """
@@ -33,8 +35,9 @@ from hedonica.session import literal_rows, lookup, settled, written
 # counters is ever brought together, and up to as many factors as a grouping id has bits.
 MAX_LEVELS = 1024
 MAX_FACTORS = 60
-# Wanted bound on the counters of one pair of blocks.
-MAX_CELLS = 100_000
+# Wanted bound on the counters of one pair of blocks. Fewer, larger blocks update fewer
+# counters per row, but leave more of them to shuffle per task of some million rows.
+MAX_CELLS = 200_000
 
 
 @dataclass(frozen=True)

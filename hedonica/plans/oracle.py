@@ -364,7 +364,7 @@ def oracle_sql(frequent_per_mille: int = 38) -> dict[str, str]:
           SELECT n, {', '.join(r(c, 6) for c in line_columns)},
           {', '.join(r(f'q[{i}]', 6, c) for i, c in enumerate(five, start=1))} FROM t, res""",
         "regression_plotted": f"""WITH {SCORED} SELECT
-          regr_count(logprice, pred_price) AS n,
+          cast(regr_count(logprice, pred_price) AS bigint) AS n,
           {r('regr_slope(logprice, pred_price)', 6, 'slope')},
           {r('regr_intercept(logprice, pred_price)', 6, 'intercept')},
           {r('regr_r2(logprice, pred_price)', 6, 'r2')}

@@ -84,10 +84,6 @@ def settled(df: DataFrame, name: str, limit: int = SMALL_ROWS) -> tuple[DataFram
     return written(df, name), False
 
 
-def same_level(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
-
-
 def lookup(
     df: DataFrame,
     table: DataFrame,
@@ -102,7 +98,7 @@ def lookup(
     """
     on = reduce(
         lambda a, b: a & b,
-        [same_level(df[k], table[v]) for k, v in keys.items()],
+        [df[k].eqNullSafe(table[v]) for k, v in keys.items()],
     )
     if extra is not None:
         on = on & extra

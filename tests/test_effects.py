@@ -82,10 +82,10 @@ def test_pair_counts_for_any_blocks(spark, max_cells):
 
 def test_blocks_are_balanced_and_bounded():
     sizes = {f"f{i}": s for i, s in enumerate([6, 8, 6, 3, 5, 5, 14, 5, 14, 8, 13])}
-    blocks = effects.blocks_of(sizes, 100_000)
+    blocks = effects.blocks_of(sizes)
     assert sorted(f for b in blocks for f in b) == sorted(sizes)
     cells = sorted(math.prod(sizes[f] for f in b) for b in blocks)
-    assert cells[-1] * cells[-2] <= 100_000 and len(blocks) <= 5
+    assert cells[-1] * cells[-2] <= effects.MAX_CELLS and len(blocks) == 4
     assert effects.blocks_of({"a": 3, "b": 4}, 100) == [["b", "a"]]
 
 

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from hedonica.operators import quantiles
 from hedonica.operators.quantiles import exact_quantiles
+from hedonica.session import settled
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -54,3 +56,32 @@ def test_values_must_be_finite(spark, bad):
     df = spark.createDataFrame([(1.0,), (bad,)], "v double")
     with pytest.raises(ValueError, match="NaN or infinite"):
         exact_quantiles(df, "v", PROBS)
+
+
+def test_many_groups_use_written_tables(spark, monkeypatch):
+    """Beyond the bound the interval table is written and joined by Spark's choice."""
+    monkeypatch.setattr(quantiles, "settled", lambda d, name: settled(d, name, limit=3))
+    df = spark.range(3000).select((F.col("id") % 7).alias("g"), (F.hash("id") % 500).alias("v"))
+    out = exact_quantiles(df, "v", PROBS, ["g"], bins=32, finish_rows=100).collect()
+    values = {}
+    for r in df.collect():
+        values.setdefault(r["g"], []).append(r["v"])
+    assert {r["g"] for r in out} == set(values)
+    for r in out:
+        assert r["q"] == pytest.approx(expect(values[r["g"]]))
+
+
+def test_later_passes_read_only_rows_in_wanted_bins(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settled(df, name)
+
+    monkeypatch.setattr(quantiles, "settled", kept)
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), (F.hash("id") / 7).alias("v"))
+    long = df.unpivot(["v"], ["g"], "factor", "level")
+    exact_quantiles(long, "v", [0.5], ["factor", "level"], bins=64, finish_rows=10).collect()
+    assert len(plans) >= 2
+    below_expand = plans[1][plans[1].index("Expand"):]
+    assert " IN (" in below_expand or "INSET" in below_expand
