@@ -190,6 +190,12 @@ def _fit_stepwise(
     return out
 
 
+def sketched(df: DataFrame, column: str) -> Column:
+    """The column in a type that distinct-count sketches take."""
+    kind = df.schema[column].dataType.simpleString()
+    return F.col(column) if kind in ("int", "bigint", "string") else F.col(column).cast("string")
+
+
 def fit_chain(
     df: DataFrame,
     y: str,
@@ -206,7 +212,7 @@ def fit_chain(
         F.avg(y).alias("mu"),
         F.var_pop(y).alias("spread"),
         *[
-            F.hll_sketch_estimate(F.hll_sketch_agg(F.col(f).cast("string"))).alias(f"levels_{i}")
+            F.hll_sketch_estimate(F.hll_sketch_agg(sketched(df, f))).alias(f"levels_{i}")
             for i, f in enumerate(factors)
         ],
     ).first()

@@ -346,7 +346,7 @@ def oracle_sql(frequent_per_mille: int = 38) -> dict[str, str]:
           count(*) AS n FROM drawn GROUP BY 1, 2""",
         "train_keys": f"WITH {SPLIT} SELECT row_key FROM train",
         "mean_and_naive": f"""WITH {SPLIT} SELECT count(*) AS n, {r('avg(logprice)', 6, 'mu')},
-          {r('stddev_pop(logprice)', 6, 'naive_rmse')} FROM train""",
+          {r('sqrt(avg((logprice - mu) * (logprice - mu)))', 6, 'naive_rmse')} FROM train, mean""",
         "model_comparison": _comparison(),
         "predict_validation":
             f"WITH {SCORED} SELECT row_key, {r(f'p{last}', 6, 'pred_price')} FROM scored",

@@ -67,3 +67,21 @@ def test_shared_dir_is_the_named_one(spark):
         conf, sparkContext = Conf(), spark.sparkContext
 
     assert shared_dir(Named()).startswith("/shared/place/hedonica-")
+
+
+def test_a_cluster_must_name_a_shared_dir():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master, applicationId = "yarn", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Unnamed:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Unnamed())
