@@ -13,8 +13,8 @@ from conftest import plan_of  # noqa: E402
 from hedonica import fixed_values as fixed  # noqa: E402
 from hedonica.plans.workspace import workspace  # noqa: E402
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+SQL = entry.oracle.oracle_sql(entry.catalog.FREQUENT_PER_MILLE)
+QUERIES = entry.catalog.queries()
 
 
 @pytest.fixture(scope="module")
