@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedonica.llm import packing, token_counts, token_files
+from hedonica.llm import decontaminate, oracle, packing, token_counts, token_files
 from hedonica.llm.common import table
 from hedonica.session import fresh_path
 
@@ -24,14 +24,29 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=1)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked, name = decontaminate.mark(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]
+    )
+    found = F.col(name)
+    return marked.select(
+        "doc_id",
+        found["n_words"].alias("n_words"),
+        found["n_hit"].alias("n_hit"),
+        F.size(found["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(found["items"], ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(found).alias("contaminated"),
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op2_token_files, op3_packing, op5_decontaminate, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL

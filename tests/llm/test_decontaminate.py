@@ -1,0 +1,68 @@
+"""Wu-Manber search against a look at every position of every text."""
+
+import re
+
+import pytest
+from hedonica.llm import decontaminate as D
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+ITEMS = "item_id bigint, text string"
+
+
+def brute(text, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words, hit, ids = split(text), set(), set()
+    for item_id, item in items:
+        w = split(item)
+        size = min(13, len(w))
+        for j in range(len(w) - size + 1 if w else 0):
+            for i in range(len(words) - size + 1):
+                if words[i : i + size] == w[j : j + size]:
+                    hit.update(range(i, i + size))
+                    ids.add(item_id)
+    return len(words), len(hit), sorted(str(i) for i in ids if i is not None)
+
+
+word = st.sampled_from(["a", "B", "b", "é", "x1"])
+texts = st.lists(word, max_size=40).map(" ".join)
+
+
+@given(texts, st.lists(texts, max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_search_equals_brute_force(text, items):
+    items = list(enumerate(items))
+    words = D.words_of(text.encode())
+    ranges, ids = D.Searcher([(str(i), t.encode()) for i, t in items]).ranges(words)
+    assert (len(words), D.covered(ranges), sorted(ids)) == brute(text, items)
+
+
+W = " ".join(f"w{i}" for i in range(30))
+ROWS = [
+    (1, W), (2, None), (3, ""), (4, "clean text here"), (4, "clean text here"), (None, W.upper()),
+    (5, "x " * 500 + " ".join(f"w{i}" for i in range(13))), (6, "!? ."), (7, " ".join(f"w{i}" for i in range(12))),
+    (8, "Short, ITEM"), (9, "y " * 200_000 + W),
+]
+BENCH = [(10, W), (9, "short item"), (9, "short item"), (None, "clean text"), (11, None), (12, "?!")]
+
+
+@pytest.mark.parametrize("slice_bytes", [1, 1 << 20])
+def test_mark(spark, documents, slice_bytes):
+    docs = documents(ROWS, extra=True).withColumnRenamed("file", "found")
+    marked, name = D.mark(docs, spark.createDataFrame(BENCH, ITEMS), slice_bytes=slice_bytes)
+    assert set(docs.columns) | {name} == set(marked.columns)
+    got = sorted(str((r.doc_id, *(r[name][k] for k in ("n_words", "n_hit", "items")))) for r in marked.collect())
+    assert got == sorted(str((i, *brute(t, BENCH))) for i, t in ROWS)
+
+
+def test_filter_keeps_clean_documents(spark, documents):
+    docs = documents(ROWS)
+    kept = D.without_contaminated(docs, spark.createDataFrame(BENCH, ITEMS))
+    assert kept.schema == docs.schema
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "5", "6", "7", "9"]
+
+
+def test_empty_tables(spark, documents):
+    none = spark.createDataFrame([], ITEMS)
+    assert D.without_contaminated(documents(ROWS), none).count() == len(ROWS)
+    assert D.without_contaminated(documents(ROWS).limit(0), spark.createDataFrame(BENCH, ITEMS)).count() == 0
