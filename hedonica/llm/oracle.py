@@ -34,4 +34,54 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM docs LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)
 """
 
-SQL = {"op5_decontaminate": OP5}
+OP8 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents
+), split AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM docs
+), spots AS (
+  SELECT rid, i, array_to_string(w[i : i + 4], ' ') AS win FROM split, unnest(range(1, len(w) - 3)) AS r(i)
+), twice AS (
+  SELECT rid, i FROM spots QUALIFY count(*) OVER (PARTITION BY rid, win) > 1
+), again AS (
+  SELECT rid, count(DISTINCT p) AS n FROM twice, unnest(range(i, i + 5)) AS r(p) GROUP BY rid
+), m AS (
+  SELECT rid, doc_id, lang, source, len(w)::BIGINT AS n_words,
+    length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    length(regexp_replace(t, '\P{Lu}+', '', 'g'))::BIGINT AS n_upper,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    len(lines)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM split LEFT JOIN again USING (rid)
+), signs AS (
+  SELECT rid, lang, source, n_words, unnest([0, 1, 2, 3]) AS sign, unnest([
+    n_symbols * 1000000 // nullif(n_words, 0), n_upper * 1000000 // nullif(word_chars, 0),
+    n_dup_lines * 1000000 // nullif(n_lines, 0), word_chars * 1000000 // nullif(n_words, 0)]) AS v
+  FROM m
+), binned AS (
+  SELECT level, CASE WHEN level < 2 THEN lang END AS lang, CASE WHEN level < 1 THEN source END AS source,
+    sign, v >> greatest(length(bin(v)) - 5, 0) << greatest(length(bin(v)) - 5, 0) AS b
+  FROM signs, unnest([0, 1, 2]) AS l(level) WHERE n_words >= 10
+), quartiles AS (
+  SELECT level, lang, source, sign, count(*) AS docs,
+    quantile_disc(b, 0.5) AS q2, quantile_disc(b, 0.75) AS q3
+  FROM binned GROUP BY ALL
+), fences AS (
+  SELECT *, q3 + 10 * greatest(q3 - q2, [20000, 20000, 60000, 500000][sign + 1]) AS fence FROM quartiles
+), beyond AS (
+  SELECT rid, bool_or(v > CASE WHEN a.docs >= 200 THEN a.fence WHEN b.docs >= 200 THEN b.fence ELSE c.fence END) AS out
+  FROM signs s
+  LEFT JOIN fences a ON a.level = 0 AND a.sign = s.sign AND a.lang IS NOT DISTINCT FROM s.lang AND a.source IS NOT DISTINCT FROM s.source
+  LEFT JOIN fences b ON b.level = 1 AND b.sign = s.sign AND b.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN fences c ON c.level = 2 AND c.sign = s.sign
+  GROUP BY rid
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(out, false) AS kept
+FROM m JOIN beyond USING (rid)
+"""
+
+SQL = {"op5_decontaminate": OP5, "op8_quality": OP8}

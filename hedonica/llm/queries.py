@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedonica.llm import decontaminate, oracle, packing, simhash, token_counts, token_files
+from hedonica.llm import decontaminate, oracle, packing, quality, simhash, token_counts, token_files
 from hedonica.llm.common import table
 from hedonica.session import fresh_path
 
@@ -48,12 +48,20 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    df, name = quality.judged(docs)
+    return df.select("doc_id", F.col(f"{name}.*"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
 
 
-QUERIES = [op2_token_files, op3_packing, op4_simhash, op5_decontaminate, op10_token_counts]
+QUERIES = [
+    op2_token_files, op3_packing, op4_simhash, op5_decontaminate, op8_quality, op10_token_counts,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1,73 @@
+"""Quality rules against plain Python, and what the adaptive limits keep and reject."""
+
+import re
+from collections import Counter
+
+from hedonica.llm import quality as Q
+from pyspark.sql import functions as F
+
+
+def brute(text):
+    t = text or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    counts = Counter(windows)
+    covered = {p for i, x in enumerate(windows) if counts[x] > 1 for p in range(i, i + 5)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+    return (
+        len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed,
+    )
+
+
+TEXTS = [
+    None, "", " \n\t", "one", "a b c d e a b c d e f", "a a a a a a a a", "x\ny\nx\n \n x\nx\r", "\x0bq\x0cr\x85s\xa0t ",
+    "😀é #*$%&|<> ##", " ".join(f"w{i % 7}" for i in range(200)), " ".join(f"w{i}" for i in range(3000)) + " w5 w6 w7 w8 w9 w10",
+    "lead " + "same line of words here\n" * 5, " ".join(f"v{i}" for i in range(150_000)),
+]
+
+
+def measured(spark, rows, documents, extra=False):
+    df, name = Q.judged(documents(rows, extra))
+    return {r.doc_id: r[name] for r in df.collect()}
+
+
+def test_measures(spark, documents):
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    got = measured(spark, rows, documents, extra=True)
+    for i, t in rows:
+        assert tuple(got[i])[:6] == brute(t), i
+
+
+def clean(i, lang):
+    return " ".join(f"{lang}word{(i * 31 + j * 7) % 97}" for j in range(30 + i % 50)) + "."
+
+
+def test_limits_follow_language_and_source(spark, documents):
+    rows = [(i, clean(i, "en"), "en", "web") for i in range(300)]
+    rows += [(1000 + i, clean(i, "de").replace(" ", "# "), "de", "code") for i in range(300)]
+    rows += [(2000 + i, clean(i, "fr"), None, f"s{i}") for i in range(20)]
+    junk = clean(1, "en").replace(" ", "%%% ")
+    rows += [(9001, junk, "en", "web"), (9002, clean(2, "en").upper(), "en", "web")]
+    rows += [(9004, clean(3, "en"), "en", "web")] * 2
+    got = measured(spark, rows, documents)
+    assert all(got[i].kept for i in got if i < 9000 or i == 9004)
+    assert not got[9001].kept and not got[9002].kept
+    docs = documents(rows, extra=True)
+    kept = Q.good_documents(docs)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 2
+
+
+def test_empty_table(spark, documents):
+    assert Q.good_documents(documents(["x"]).limit(0)).collect() == []
+
+
+def test_bins(spark):
+    values = [0, 1, 31, 32, 33, 1000, 123456789]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v bigint").select(Q.bin_of(F.col("v"))).collect()]
+    assert got == [v >> max(v.bit_length() - 5, 0) << max(v.bit_length() - 5, 0) for v in values]
+
+
+def test_plan_is_native(spark, documents):
+    plan = Q.good_documents(documents(["x"]))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
