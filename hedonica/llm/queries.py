@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedonica.llm import decontaminate, oracle, packing, quality, simhash, token_counts, token_files
+from hedonica.llm import decontaminate, oracle, packing, pii, quality, simhash, token_counts, token_files
 from hedonica.llm.common import table
 from hedonica.session import fresh_path
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -60,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    op2_token_files, op3_packing, op4_simhash, op5_decontaminate, op8_quality, op10_token_counts,
+    op1_pii, op2_token_files, op3_packing, op4_simhash, op5_decontaminate, op8_quality, op10_token_counts,
 ]
 
 
