@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedonica.llm import decontaminate, oracle, packing, pii, quality, simhash, token_counts, token_files
+from hedonica.llm import decontaminate, language, oracle, packing, pii, quality, simhash, token_counts, token_files
 from hedonica.llm.common import table
 from hedonica.session import fresh_path
 
@@ -52,6 +52,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_predictions(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     df, name = quality.judged(docs)
@@ -64,7 +68,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    op1_pii, op2_token_files, op3_packing, op4_simhash, op5_decontaminate, op8_quality, op10_token_counts,
+    op1_pii, op2_token_files, op3_packing, op4_simhash, op5_decontaminate, op7_language,
+    op8_quality, op10_token_counts,
 ]
 
 
