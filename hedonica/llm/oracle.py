@@ -84,4 +84,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m JOIN beyond USING (rid)
 """
 
-SQL = {"op5_decontaminate": OP5, "op8_quality": OP8}
+OP6 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html,
+    regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^(?i)[a-z][a-z0-9+.-]*://([^/?@]*@)?', '') AS u
+  FROM pages
+), k AS (
+  SELECT page_id, html,
+    regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '')
+    || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x:
+      x <> '' AND NOT regexp_matches(x, '^(?i)(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))), '&') AS q
+  FROM p
+), c AS (
+  SELECT page_id, html, md5(html) AS tag,
+    nullif(place || CASE WHEN q <> '' THEN '?' || q ELSE '' END, '') AS canonical_url
+  FROM k
+), found AS (
+  SELECT r.page_id, r.tag, r.canonical_url, (
+    SELECT max(f.page_id) FROM c f
+    WHERE f.canonical_url = r.canonical_url AND f.page_id < r.page_id + 5000) AS ref
+  FROM c r
+)
+SELECT 'urn:response:' || page_id AS record_id, canonical_url, 'full' AS outcome, NULL::VARCHAR AS refers_to,
+  'content-type: text/html; etag: "' || tag || '"; cache-control: max-age=60; content-length: ' || strlen(html) AS headers
+FROM c
+UNION ALL
+SELECT 'urn:revisit:' || f.page_id, f.canonical_url,
+  CASE WHEN ref IS NULL THEN 'no_earlier' WHEN t.tag = f.tag THEN 'resolved' ELSE 'changed' END,
+  'urn:response:' || ref,
+  CASE WHEN t.tag = f.tag
+    THEN 'content-type: text/html; content-length: ' || strlen(t.html) || '; etag: W/"' || f.tag || '"; cache-control: max-age=120'
+    ELSE 'etag: W/"' || f.tag || '"; cache-control: max-age=120; content-length: 0' END
+FROM found f LEFT JOIN c t ON t.page_id = f.ref
+"""
+
+SQL = {"op5_decontaminate": OP5, "op6_warc": OP6, "op8_quality": OP8}

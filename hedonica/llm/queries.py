@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedonica.llm import decontaminate, language, oracle, packing, pii, quality, simhash, token_counts, token_files
+from hedonica.llm import decontaminate, language, oracle, packing, pii, quality, simhash, token_counts, token_files, warc
 from hedonica.llm.common import table
 from hedonica.session import fresh_path
 
@@ -52,6 +52,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a crawl of all pages: what each revisit stands for, and its headers."""
+    records = warc.parsed(warc.crawl(table(spark, sf_dir, "pages"), again_after=5_000))
+    lines = F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"]))
+    return warc.resolved(records).select(
+        "record_id", "canonical_url", "outcome", "refers_to", F.array_join(lines, "; ").alias("headers")
+    )
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_predictions(table(spark, sf_dir, "documents"))
 
@@ -68,8 +77,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    op1_pii, op2_token_files, op3_packing, op4_simhash, op5_decontaminate, op7_language,
-    op8_quality, op10_token_counts,
+    op1_pii, op2_token_files, op3_packing, op4_simhash, op5_decontaminate, op6_warc,
+    op7_language, op8_quality, op10_token_counts,
 ]
 
 
