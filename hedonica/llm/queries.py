@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedonica.llm import decontaminate, language, oracle, packing, pii, quality, simhash, token_counts, token_files, warc
+from hedonica.llm import decontaminate, language, licences, oracle, packing, pii, quality, simhash, token_counts, token_files, warc
 from hedonica.llm.common import table
 from hedonica.session import fresh_path
 
@@ -71,6 +72,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.col(f"{name}.*"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"),
+        F.round("similarity", 6).alias("similarity"), "text",
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
@@ -78,12 +87,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     op1_pii, op2_token_files, op3_packing, op4_simhash, op5_decontaminate, op6_warc,
-    op7_language, op8_quality, op10_token_counts,
+    op7_language, op8_quality, op9_licences, op10_token_counts,
 ]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
