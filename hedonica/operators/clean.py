@@ -71,7 +71,7 @@ def tidy(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def only_levels(df: DataFrame, column: str, levels: DataFrame) -> DataFrame:
-    """Rows whose level is listed in the one-column table ``levels``."""
+    """Rows whose level is listed in the one-column table ``levels``; NULL never is."""
     listed, small = settled(levels.select(F.col(levels.columns[0]).alias("_level")), "levels")
     return df.join(
         F.broadcast(listed) if small else listed, df[column] == listed["_level"], "left_semi"

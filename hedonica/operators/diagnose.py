@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from hedonica.functions.metrics import share
+from hedonica.functions.metrics import null_count, share
 from hedonica.functions.scalars import from_log10
 from hedonica.functions.student import f_upper, t_quantile, t_two_sided
 from hedonica.operators.quantiles import exact_quantiles
@@ -107,10 +107,14 @@ PLOTTED = "plotted_"
 
 
 def judgement(df: DataFrame, value: str, y: str, x: str, low: float, high: float) -> DataFrame:
-    """One row from one scan: price error, line, and the line of the points inside limits."""
+    """One row from one scan: price error, line, and the line of the points inside limits.
+
+    ``n_unscored`` counts the rows without a prediction ``x``, which no line can use.
+    """
     inside = within_limits([y, x], low, high)
     sums = df.agg(
         *error_sums(F.col(value)),
+        null_count(F.col(x)).alias("n_unscored"),
         *line_sums(F.col(y), F.col(x)),
         *line_sums(F.when(inside, F.col(y)), F.when(inside, F.col(x)), PLOTTED),
     )
@@ -137,20 +141,31 @@ def line_summary(df: DataFrame, y: str, x: str, fitted: DataFrame | None = None)
 
 
 def tails(fitted: Row, level: float = 0.95) -> dict[str, float]:
-    """p-values and confidence limits of a fitted line, from its one row of statistics."""
+    """p-values and confidence limits of a fitted line, from its one row of statistics.
+
+    What an exact fit, a constant x or fewer than three points leave open is None.
+    """
     df = fitted["n"] - 2
-    t = t_quantile(1.0 - (1.0 - level) / 2.0, df)
-    slope, se_slope = fitted["slope"], fitted["se_slope"]
-    intercept, se_intercept = fitted["intercept"], fitted["se_intercept"]
+
+    def tail(f, statistic: str) -> float | None:
+        value = fitted[statistic]
+        return None if value is None or df < 1 else f(value, df)
+
+    def limit(name: str, sign: int) -> float | None:
+        value, error = fitted[name], fitted[f"se_{name}"]
+        if value is None or error is None or df < 1:
+            return None
+        return value + sign * t_quantile(1.0 - (1.0 - level) / 2.0, df) * error
+
     return {
-        "p_slope": t_two_sided(fitted["t_slope"], df),
-        "p_intercept": t_two_sided(fitted["t_intercept"], df),
-        "p_line": f_upper(fitted["f_line"], df),
-        "p_slope_is_one": f_upper(fitted["f_slope_is_one"], df),
-        "slope_low": slope - t * se_slope,
-        "slope_high": slope + t * se_slope,
-        "intercept_low": intercept - t * se_intercept,
-        "intercept_high": intercept + t * se_intercept,
+        "p_slope": tail(t_two_sided, "t_slope"),
+        "p_intercept": tail(t_two_sided, "t_intercept"),
+        "p_line": tail(f_upper, "f_line"),
+        "p_slope_is_one": tail(f_upper, "f_slope_is_one"),
+        "slope_low": limit("slope", -1),
+        "slope_high": limit("slope", 1),
+        "intercept_low": limit("intercept", -1),
+        "intercept_high": limit("intercept", 1),
     }
 
 

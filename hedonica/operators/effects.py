@@ -13,7 +13,7 @@ Two fits give the same numbers:
   The error after step k is the error before less the rows times the squared effects, so a
   fit without any error left shows rounding noise of about 1e-8 instead of zero.
 * ``stepwise``: one aggregation and one lookup join per factor, for factors with more
-  levels than a pair table may hold.
+  levels than a pair table may hold. The caller says which of the two it is.
 """
 
 from __future__ import annotations
@@ -24,20 +24,20 @@ from dataclasses import dataclass, field
 from itertools import accumulate, combinations
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from hedonica.functions.metrics import null_count, rmse
 from hedonica.session import literal_rows, lookup, settled, written
 
-# Pair counting is used up to this many levels in all, so that at most half its square of
-# counters is ever brought together, and up to as many factors as a grouping id has bits.
-MAX_LEVELS = 1024
+# Pair counting brings at most this many pair counts to the driver (of 1,448 levels in all,
+# at the worst); it takes as many factors as a grouping id has bits. Beyond, it refuses.
+MAX_PAIRS = 1 << 20
 MAX_FACTORS = 60
-# Wanted bound on the counters of one pair of blocks. Fewer, larger blocks update fewer
-# counters per row, but leave more of them to shuffle per task of some million rows.
-MAX_CELLS = 200_000
+# Wanted bound on the counters of one pair of blocks. Larger blocks update fewer counters per
+# row, but a task shuffles up to that many counters per pair of blocks.
+MAX_CELLS = 5_000
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,10 @@ def _fit_moments(
     types: dict[str, DataType] = {f: df.schema[f].dataType for f in factors}
     own: list[dict] = [{} for _ in factors]
     shared: dict[tuple[int, int], list] = {}
-    for r in pair_counts(df, F.col(y) - F.lit(mu), factors, sizes).collect():
+    counted = pair_counts(df, F.col(y) - F.lit(mu), factors, sizes).limit(MAX_PAIRS + 1).collect()
+    if len(counted) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of levels; fit with method='stepwise'")
+    for r in counted:
         if r["j"] == r["k"]:
             own[r["k"]][r["level_k"]] = (r["n"], r["s"])
         else:
@@ -200,15 +203,18 @@ def fit_chain(
     df: DataFrame,
     y: str,
     factors: Sequence[str],
-    method: str = "auto",
-    max_levels: int = MAX_LEVELS,
+    method: str = "moments",
 ) -> EffectModel:
-    """Fit the mean of ``y`` and one effect per factor, in the order given."""
+    """Fit the mean of ``y`` and one effect per factor, in the order given.
+
+    ``moments`` refuses factors with too many pairs of levels; ``stepwise`` takes any.
+    """
     if len(set(factors)) != len(factors):
         raise ValueError("a factor is named twice")
     first = df.agg(
         F.count(F.lit(1)).alias("n"),
         null_count(F.col(y)).alias("n_null"),
+        F.count_if(F.isnan(F.col(y)) | (F.abs(F.col(y)) == math.inf)).alias("n_odd"),
         F.avg(y).alias("mu"),
         F.var_pop(y).alias("spread"),
         *[
@@ -220,18 +226,19 @@ def fit_chain(
         raise ValueError("no rows to fit")
     if first["n_null"]:
         raise ValueError(f"{y} has {first['n_null']} NULL values")
+    if first["n_odd"]:
+        raise ValueError(f"{y} has {first['n_odd']} values that are not finite")
     # One more for a NULL level.
     sizes = {f: (first[f"levels_{i}"] or 0) + 1 for i, f in enumerate(factors)}
-    if method == "auto":
-        few = sum(sizes.values()) <= max_levels and len(factors) <= MAX_FACTORS
-        method = "moments" if few else "stepwise"
     n, mu, sse = first["n"], first["mu"], first["spread"] * first["n"]
     if method == "moments":
+        if len(factors) > MAX_FACTORS:
+            raise ValueError(f"more than {MAX_FACTORS} factors; fit with method='stepwise'")
         effects = _fit_moments(df, y, factors, n, mu, sse, sizes)
     elif method == "stepwise":
         effects = _fit_stepwise(df, y, factors, n, mu)
     else:
-        raise ValueError("method must be 'auto', 'moments' or 'stepwise'")
+        raise ValueError("method must be 'moments' or 'stepwise'")
     return EffectModel(y, n, mu, math.sqrt(sse / n), method, effects)
 
 
@@ -261,13 +268,26 @@ def rmse_by_step(df: DataFrame, model: EffectModel, nulls: str = "propagate") ->
     return list(row)
 
 
+def unscored_by_step(df: DataFrame, model: EffectModel) -> list[int]:
+    """Rows without a prediction, of the mean alone and with one more factor each: one scan."""
+    joined, effects = with_effects(df, model)
+    partial = list(accumulate([F.lit(model.mu), *effects], add))
+    return list(joined.agg(*[null_count(p).alias(f"n{i}") for i, p in enumerate(partial)]).first())
+
+
 def comparison(
-    train: DataFrame, model: EffectModel, names: Sequence[str], holdout: DataFrame | None = None
+    spark: SparkSession, model: EffectModel, names: Sequence[str], holdout: DataFrame | None = None
 ) -> DataFrame:
-    """(step, model, rmse, holdout_rmse): a row per model, from the mean to all factors."""
-    other = rmse_by_step(holdout, model) if holdout is not None else [None] * len(names)
+    """(step, model, rmse, holdout_rmse, n_unscored): a row per model, from the mean on.
+
+    ``n_unscored`` counts the hold-out rows with a level that the fit has not seen; their
+    RMSE is NULL then.
+    """
+    other, unscored = [None] * len(names), [None] * len(names)
+    if holdout is not None:
+        other, unscored = rmse_by_step(holdout, model), unscored_by_step(holdout, model)
     return literal_rows(
-        train.sparkSession,
-        list(zip(range(len(names)), names, model.rmses(), other)),
-        "step int, model string, rmse double, holdout_rmse double",
+        spark,
+        list(zip(range(len(names)), names, model.rmses(), other, unscored)),
+        "step int, model string, rmse double, holdout_rmse double, n_unscored bigint",
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +23,21 @@ def histogram(
 ) -> DataFrame:
     """(bin, lower, n) for every bin, empty ones included.
 
-    Bins span the data, or the given limits; values outside the limits are left out.
+    Bins span the data, or the given limits; values outside the limits are left out. NaN is
+    refused.
     """
-    data = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
+    plain = value.cast("double")
+    refused = F.raise_error(F.lit("a value is not a number")).cast("double")
+    data = df.select(F.when(F.isnan(plain), refused).otherwise(plain).alias("v"))
+    data = data.where(F.col("v").isNotNull())
     if low is None or high is None:
         span = data.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
         low = span["low"] if low is None else low
         high = span["high"] if high is None else high
     if low is None:
         low = high = 0.0
+    if math.isinf(low) or math.isinf(high):
+        raise ValueError("values are not finite; give limits")
     width = (high - low) / bins or 1.0
     counts = (
         data.where(F.col("v").between(low, high))

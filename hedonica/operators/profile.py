@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
-from hedonica.session import literal_rows, settled
+from hedonica.session import literal_rows, written
 
 
 def overview(df: DataFrame, day: Column, amount: Column) -> DataFrame:
@@ -91,25 +92,31 @@ def preview(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def level_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(factor, level, code): levels of text columns numbered from 1 in text order.
+    """(factor, level, code): levels numbered from 1, numbers by value, text by bytes.
 
-    Distinct levels are ranked within their two leading characters and offset by the
-    number of levels sorted before, so a long level list is not ranked in one task.
+    Distinct levels are sorted into ranges over all tasks; a level's code is its place in its
+    range and the number of levels in the ranges before, so no list of levels is ranked in
+    one task, whatever its levels have in common.
     """
-    distinct, _ = settled(
+    numeric = [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
+    value = F.when(F.col("factor").isin(*numeric), F.col("level").cast("decimal(38,9)"))
+    order = ["factor", "value", "level"]
+    ranged = written(
         levels(df, columns).where(F.col("level").isNotNull())
-        .select("factor", "level", F.substring("level", 1, 2).alias("lead")),
+        .select("factor", value.alias("value"), "level")
+        .repartitionByRange(*order)
+        .withColumn("part", F.spark_partition_id()),
         "levels",
     )
-    before = Window.partitionBy("factor").orderBy("lead")
+    earlier = Window.partitionBy("factor").orderBy("part")
     offsets = (
-        distinct.groupBy("factor", "lead").agg(F.count(F.lit(1)).alias("n"))
+        ranged.groupBy("factor", "part").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("offset", F.sum("n").over(
-            before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+            earlier.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
         .drop("n")
     )
-    within = Window.partitionBy("factor", "lead").orderBy("level")
-    ranked = distinct.withColumn("place", F.row_number().over(within))
-    return ranked.join(offsets, ["factor", "lead"]).select(
+    within = Window.partitionBy("factor", "part").orderBy("value", "level")
+    placed = ranged.withColumn("place", F.row_number().over(within))
+    return placed.join(offsets, ["factor", "part"]).select(
         "factor", "level", (F.col("offset") + F.col("place")).cast("bigint").alias("code")
     )

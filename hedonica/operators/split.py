@@ -67,7 +67,8 @@ class Split:
         return df.where(self.taken())
 
     def holdout(self, df: DataFrame) -> DataFrame:
-        return df.where(~self.taken())
+        """The exact complement of ``train``, whatever is NULL."""
+        return df.where(~F.coalesce(self.taken(), F.lit(False)))
 
 
 def stratified_split(
@@ -80,7 +81,7 @@ def stratified_split(
     finish_rows: int = FINISH_ROWS,
     bins: int = BINS,
 ) -> Split:
-    """Fit the split. ``key`` must be unique and ``y`` must not be NULL."""
+    """Fit the split. ``key`` must be unique; neither it nor ``y`` may be NULL."""
     probs = [i / strata for i in range(1, strata)]
     quantiles = exact_quantiles(df, y, probs, bins=bins, finish_rows=finish_rows).first()
     if quantiles is None:
@@ -99,15 +100,18 @@ def stratified_split(
     whole = Window.partitionBy("stratum")
     upto = whole.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("n").over(whole)
-    cut = {
-        r["stratum"]: r
-        for r in counts.withColumn("total", total)
+    reaches = (F.col("before") < F.col("need")) & (F.col("need") <= F.col("before") + F.col("n"))
+    found = (
+        counts.withColumn("total", total)
         .withColumn("need", F.ceil(F.lit(share) * F.col("total")).cast("bigint"))
         .withColumn("before", F.sum("n").over(upto) - F.col("n"))
-        .where((F.col("before") < F.col("need")) & (F.col("need") <= F.col("before") + F.col("n")))
+        .where(reaches | F.col("prefix").isNull())
         .select("stratum", "prefix", "n", "total", "need", "before")
         .collect()
-    }
+    )
+    if any(r["prefix"] is None for r in found):
+        raise ValueError(f"{key} has NULL values")
+    cut = {r["stratum"]: r for r in found}
     if None in cut:
         raise ValueError(f"{y} has NULL or NaN values")
     sizes = {s: (r["need"], r["total"]) for s, r in sorted(cut.items())}

@@ -9,19 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedonica import fixed_values as fixed
+from hedonica.functions.metrics import null_count, rmse
 from hedonica.functions.scalars import bucketize, day_of, dominant, number, weekday
 from hedonica.operators import boxplot, clean, diagnose, effects, histogram, profile
 from hedonica.plans.workspace import KEY, PRED, Y, Workspace, rounded, workspace
-from hedonica.session import fresh_path
 from hedonica.sources.sales_csv import read_exported, read_sales, write_csv
 from hedonica.sources.surrogate import as_sales_file
 
 Query = Callable[[Workspace], DataFrame]
 _queries: dict[str, Query] = {}
 
-# A class counts as frequent on the stand-in data from this share of the sales on.
-FREQUENT_PER_MILLE = 38
-
 
 def query(f: Query) -> Query:
     _queries[f.__name__] = f
@@ -96,7 +93,7 @@ def date_parts(w: Workspace) -> DataFrame:
 @query
 def level_codes(w: Workspace) -> DataFrame:
     return profile.level_codes(
-        w.raw, ["borough", "hood", "land_area", "gross_area", "bldg_class_sale"]
+        w.raw, ["borough", "zip", "yr_built", "hood", "land_area", "gross_area", "bldg_class_sale"]
     )
 
 
@@ -120,11 +117,9 @@ def frequency_class(w: Workspace) -> DataFrame:
 
 @query
 def frequent_classes(w: Workspace) -> DataFrame:
-    """Sales of frequent classes only; the threshold grows with the data."""
-    sales = w.clean()
-    min_rows = max(fixed.CLASS_MIN_ROWS, sales.count() * FREQUENT_PER_MILLE // 1000)
+    """Sales of the classes with more than a fixed number of sales."""
     return (
-        clean.keep_frequent(sales, "bldg_class", min_rows)
+        clean.keep_frequent(w.clean(), "bldg_class", fixed.CLASS_MIN_ROWS)
         .groupBy("bldg_class")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("sum_price"))
     )
@@ -138,7 +133,7 @@ def tidy(w: Workspace) -> DataFrame:
 @query
 def csv_ingest(w: Workspace) -> DataFrame:
     """Write the sales as a raw 22-column file, read it by position, clean it."""
-    path = fresh_path(w.spark, "sales-file")
+    path = w.path("sales-file")
     write_csv(as_sales_file(w.raw), path)
     sales = read_sales(w.spark, path).withColumnRenamed("address", KEY)
     return rounded(clean.tidy(sales, [KEY]), logprice=6)
@@ -146,9 +141,17 @@ def csv_ingest(w: Workspace) -> DataFrame:
 
 @query
 def export_roundtrip(w: Workspace) -> DataFrame:
-    path = fresh_path(w.spark, "tidy-export")
-    write_csv(w.tidy, path)
-    return rounded(read_exported(w.spark, path, w.tidy.schema), logprice=6)
+    """The tidy table with a text of quotes, commas and line breaks, written and read."""
+    path = w.path("tidy-export")
+    noted = w.tidy.withColumn("note", awkward_note())
+    write_csv(noted, path)
+    return rounded(read_exported(w.spark, path, noted.schema, multi_line=True), logprice=6)
+
+
+def awkward_note() -> F.Column:
+    """Built from given columns: what a CSV must quote, and a line break."""
+    quoted = F.concat(F.lit('say "'), F.col("bldg_class"), F.lit('", '), F.col("day"))
+    return F.when(F.col("borough") == 1, F.concat(quoted, F.lit("\nnext"))).otherwise(quoted)
 
 
 @query
@@ -212,6 +215,23 @@ def split_counts(w: Workspace) -> DataFrame:
     )
 
 
+@query
+def split_complete(w: Workspace) -> DataFrame:
+    """Every sale lies in exactly one part: sales, those of each part, and of both."""
+    parts = [(w.tidy, "n_rows"), (w.train(), "n_train"), (w.holdout(), "n_holdout")]
+    names = [name for _, name in parts]
+    counted = [
+        df.select(KEY, *[F.lit(int(n == name)).cast("bigint").alias(n) for n in names])
+        for df, name in parts
+    ]
+    per_key = (
+        counted[0].union(counted[1]).union(counted[2])
+        .groupBy(KEY).agg(*[F.sum(n).alias(n) for n in names])
+    )
+    both = F.count_if(F.col("n_train") + F.col("n_holdout") != F.col("n_rows"))
+    return per_key.agg(*[F.sum(n).alias(n) for n in names], both.alias("n_wrong"))
+
+
 @query
 def train_keys(w: Workspace) -> DataFrame:
     return w.train().select(KEY)
@@ -251,10 +271,26 @@ def borough_effect_single(w: Workspace) -> DataFrame:
 
 @query
 def model_comparison(w: Workspace) -> DataFrame:
-    table = effects.comparison(w.train(), w.model, fixed.MODEL_NAMES, w.holdout())
+    table = effects.comparison(w.spark, w.model, fixed.MODEL_NAMES, w.holdout())
     return rounded(table, rmse=6, holdout_rmse=6)
 
 
+@query
+def predict_unseen(w: Workspace) -> DataFrame:
+    """Scores of all sales before the second cleaning: some levels are not in the fit."""
+    scored = effects.predict(clean.with_log_price(w.clean()), w.model, PRED)
+    y, pred = F.col(Y), F.col(PRED)
+    return rounded(
+        scored.agg(
+            F.count(F.lit(1)).alias("n"),
+            null_count(pred).alias("n_null_pred"),
+            rmse(y, pred, "propagate").alias("rmse_all"),
+            rmse(y, pred, "skip").alias("rmse_scored"),
+        ),
+        rmse_all=6, rmse_scored=6,
+    )
+
+
 @query
 def predict_validation(w: Workspace) -> DataFrame:
     return rounded(w.scored().select(KEY, PRED), pred_price=6)

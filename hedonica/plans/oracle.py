@@ -218,13 +218,29 @@ BOXES = _boxes()
 def _codes(columns: list[str]) -> str:
     parts = " UNION ALL ".join(
         f"SELECT '{c}' AS factor, cast({c} AS varchar) AS level,"
-        f" dense_rank() OVER (ORDER BY cast({c} AS varchar)) AS code"
+        f" dense_rank() OVER (ORDER BY {c}) AS code"
         f" FROM sales_raw WHERE {c} IS NOT NULL"
         for c in columns
     )
     return f"WITH {RAW} SELECT DISTINCT factor, level, code FROM ({parts})"
 
 
+def _unseen() -> str:
+    joins = "\n".join(
+        f"  LEFT JOIN e{k} ON clean.{f} IS NOT DISTINCT FROM e{k}.level"
+        for k, f in enumerate(fixed.FACTORS, start=1)
+    )
+    pred = " + ".join(["mu", *[f"e{k}.b" for k in range(1, len(fixed.FACTORS) + 1)]])
+    gap = "(log10(price) - pred)"
+    return f"""WITH {CHAIN},
+any_sale AS (SELECT clean.price, {pred} AS pred FROM clean CROSS JOIN mean
+{joins})
+SELECT count(*) AS n, count(*) FILTER (pred IS NULL) AS n_null_pred,
+  CASE WHEN count(pred) = count(*) THEN round(sqrt(avg({gap} * {gap})), 6) + 0.0 END AS rmse_all,
+  round(sqrt(avg({gap} * {gap})), 6) + 0.0 AS rmse_scored
+FROM any_sale"""
+
+
 def _schema() -> str:
     types = {"price": "double", "logprice": "double"}
     columns = [
@@ -250,7 +266,7 @@ def _comparison() -> str:
             f"SELECT cast({k} AS int) AS step, '{name}' AS model,"
             f" (SELECT round(sqrt(avg(r{k} * r{k})), 6) FROM c{len(fixed.FACTORS)}) AS rmse,"
             f" (SELECT round(sqrt(avg((logprice - p{k}) * (logprice - p{k}))), 6) FROM scored)"
-            f" AS holdout_rmse"
+            f" AS holdout_rmse, (SELECT count(*) - count(p{k}) FROM scored) AS n_unscored"
         )
     return f"WITH {SCORED} " + "\nUNION ALL ".join(rows)
 
@@ -287,7 +303,7 @@ def _tails() -> str:
     return f"WITH {LINE} SELECT " + ",\n".join(areas + limits) + " FROM t"
 
 
-def oracle_sql(frequent_per_mille: int = 38) -> dict[str, str]:
+def oracle_sql() -> dict[str, str]:
     last = len(fixed.FACTORS)
     five = ["res_min", "res_q1", "res_median", "res_q3", "res_max"]
     line_columns = [
@@ -305,7 +321,7 @@ def oracle_sql(frequent_per_mille: int = 38) -> dict[str, str]:
           sum(la) AS sum_land, sum(ga) AS sum_gross FROM sales_cat GROUP BY 1, 2""",
         "date_parts": f"""WITH {CLEAN} SELECT day, month, count(*) AS n,
           min(sold) AS first_day, max(sold) AS last_day FROM sales_cat GROUP BY 1, 2""",
-        "level_codes": _codes(["borough", "hood", "land_area", "gross_area", "bldg_class_sale"]),
+        "level_codes": _codes(["borough", "zip", "yr_built", "hood", "land_area", "gross_area", "bldg_class_sale"]),
         "level_counts": f"WITH {CLEAN} " + " UNION ALL ".join(
             f"SELECT '{c}' AS factor, count(DISTINCT {c}) AS n_levels, count({c}) AS n_filled"
             " FROM clean"
@@ -317,8 +333,7 @@ def oracle_sql(frequent_per_mille: int = 38) -> dict[str, str]:
           WHERE bldg_class IS NOT NULL GROUP BY 1""",
         "frequent_classes": f"""WITH {CLEAN} SELECT bldg_class, count(*) AS n,
           sum(price) AS sum_price FROM clean GROUP BY 1
-          HAVING count(*) > greatest({fixed.CLASS_MIN_ROWS},
-            (SELECT count(*) * {frequent_per_mille} // 1000 FROM clean))""",
+          HAVING count(*) > 100""",
         "tidy": f"WITH {TIDY} SELECT {TIDY_COLUMNS} FROM tidy",
         "schema_profile": _schema(),
         "preview": f"WITH {TIDY} SELECT {TIDY_COLUMNS} FROM tidy ORDER BY row_key LIMIT 20",
@@ -344,6 +359,10 @@ def oracle_sql(frequent_per_mille: int = 38) -> dict[str, str]:
           GROUP BY 1, 2""",
         "split_counts": f"""WITH {SPLIT} SELECT cast(stratum AS int) AS stratum, is_train,
           count(*) AS n FROM drawn GROUP BY 1, 2""",
+        "split_complete": f"""WITH {SPLIT} SELECT count(*) AS n_rows,
+          count(*) FILTER (is_train) AS n_train, count(*) FILTER (NOT is_train) AS n_holdout,
+          cast(0 AS bigint) AS n_wrong FROM drawn""",
+        "predict_unseen": _unseen(),
         "train_keys": f"WITH {SPLIT} SELECT row_key FROM train",
         "mean_and_naive": f"""WITH {SPLIT} SELECT count(*) AS n, {r('avg(logprice)', 6, 'mu')},
           {r('sqrt(avg((logprice - mu) * (logprice - mu)))', 6, 'naive_rmse')} FROM train, mean""",
@@ -374,7 +393,9 @@ def oracle_sql(frequent_per_mille: int = 38) -> dict[str, str]:
         "regression_tails": _tails(),
     }
     out["csv_ingest"] = out["tidy"]
-    out["export_roundtrip"] = out["tidy"]
+    out["export_roundtrip"] = f"""WITH {TIDY} SELECT {TIDY_COLUMNS},
+      'say "' || bldg_class || '", ' || day || CASE WHEN borough = 1 THEN chr(10) || 'next' ELSE '' END AS note
+      FROM tidy"""
     for k, factor in enumerate(fixed.FACTORS, start=1):
         out[f"effect_{factor}"] = (
             f"WITH {CHAIN} SELECT cast(level AS varchar) AS level, n, {r('b', 6)} FROM e{k}"

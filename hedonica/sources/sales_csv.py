@@ -4,14 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from hedonica.fixed_values import RAW_COLUMNS, RAW_NUMBERS
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, every column as text, NA as missing; no inference pass."""
-    return spark.read.option("header", True).option("nullValue", "NA").csv(path)
+# Standard quoting: fields with quotes, commas or line breaks are quoted, quotes doubled.
+QUOTING = {"header": True, "nullValue": "NA", "quote": '"', "escape": '"'}
+
+
+def read_csv(
+    spark: SparkSession, path: str, names: list[str] | None = None, multi_line: bool = False
+) -> DataFrame:
+    """A CSV with a header, every column as text, NA as missing; no inference pass.
+
+    ``names`` give the columns by position. ``multi_line`` allows line breaks inside quoted
+    fields; files can't be split over tasks then, so it is off unless asked for.
+    """
+    reader = spark.read.options(**QUOTING, multiLine=multi_line)
+    if names is None:
+        return reader.csv(path)
+    found = len(reader.csv(path).columns)
+    if found != len(names):
+        raise ValueError(f"{len(names)} names for {found} columns")
+    schema = StructType([StructField(n, StringType()) for n in names])
+    return reader.option("enforceSchema", True).schema(schema).csv(path)
 
 
 def rename_by_position(df: DataFrame, names: list[str]) -> DataFrame:
@@ -20,9 +37,9 @@ def rename_by_position(df: DataFrame, names: list[str]) -> DataFrame:
     return df.toDF(*names)
 
 
-def read_sales(spark: SparkSession, path: str) -> DataFrame:
+def read_sales(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """The raw sales file: 22 columns named by position, counts and codes as numbers."""
-    text = rename_by_position(read_csv(spark, path), RAW_COLUMNS)
+    text = read_csv(spark, path, RAW_COLUMNS, multi_line)
     return text.select(
         *[F.col(c).try_cast(RAW_NUMBERS[c]).alias(c) if c in RAW_NUMBERS else F.col(c)
           for c in RAW_COLUMNS]
@@ -30,16 +47,23 @@ def read_sales(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV files with headers; blanks inside text are kept as they are."""
+    """A folder of CSV files with headers; blanks inside text are kept as they are.
+
+    The text ``NA`` reads back as missing, which the file has no other sign for.
+    """
     (
-        df.write.option("header", True)
-        .option("nullValue", "NA")
+        df.write.options(**QUOTING)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
 
-def read_exported(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Read back a table exported by ``write_csv`` with its known schema."""
-    return spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
+def read_exported(
+    spark: SparkSession, path: str, schema: StructType, multi_line: bool = False
+) -> DataFrame:
+    """Read back a table exported by ``write_csv`` with its known schema.
+
+    ``multi_line`` is needed if a text holds line breaks; each file is then one task.
+    """
+    return spark.read.schema(schema).options(**QUOTING, multiLine=multi_line).csv(path)

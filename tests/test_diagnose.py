@@ -121,3 +121,25 @@ def test_judgement_is_one_scan_with_the_parts_equal(spark, points):
     assert 0 < plotted["n"] < 400
     for name in ("n", "slope", "intercept", "r2"):
         assert row["plotted_" + name] == pytest.approx(plotted[name])
+
+
+@pytest.mark.parametrize("rows", [
+    [(1.0, 2.0), (2.0, 4.0), (3.0, 6.0), (4.0, 8.0)],  # exact
+    [(1.0, 2.0), (1.0, 4.0), (1.0, 6.0)],  # constant x
+    [(1.0, 2.0), (2.0, 5.0)],  # two points
+    [(1.0, 2.0)],
+])
+def test_tails_of_degenerate_lines(spark, rows):
+    df = spark.createDataFrame(rows, "x double, y double")
+    found = diagnose.line_tails(diagnose.line(df, "y", "x")).first().asDict()
+    if len(rows) < 4:
+        assert set(found.values()) == {None}
+    else:
+        assert found["p_slope"] in (None, 0.0)
+
+
+def test_judgement_counts_unscored_rows(spark):
+    df = spark.createDataFrame(
+        [(10.0, 1.0, 1.0), (10.0, 2.0, 2.5), (20.0, 3.0, None)], "price double, y double, x double"
+    )
+    assert diagnose.judgement(df, "price", "y", "x", 1.0, 1e9).first()["n_unscored"] == 1

@@ -85,7 +85,7 @@ def test_blocks_are_balanced_and_bounded():
     blocks = effects.blocks_of(sizes)
     assert sorted(f for b in blocks for f in b) == sorted(sizes)
     cells = sorted(math.prod(sizes[f] for f in b) for b in blocks)
-    assert cells[-1] * cells[-2] <= effects.MAX_CELLS and len(blocks) == 4
+    assert cells[-1] * cells[-2] <= effects.MAX_CELLS <= 5_000 and len(blocks) == 6
     assert effects.blocks_of({"a": 3, "b": 4}, 100) == [["b", "a"]]
 
 
@@ -112,10 +112,24 @@ def test_missing_level_is_matched_and_unseen_level_is_not(spark):
     )
 
 
+def test_too_many_levels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(effects, "MAX_PAIRS", 1000)
+    rows = [(f"id{i % 700}", i % 900, "c", float(i % 13)) for i in range(3000)]
+    with pytest.raises(ValueError, match="stepwise"):
+        effects.fit_chain(spark.createDataFrame(rows, SCHEMA), "y", FACTORS)
+
+
+def test_values_that_are_not_finite_are_refused(spark):
+    for odd in (float("nan"), float("inf")):
+        df = spark.createDataFrame([("a", 1, "c", odd), ("a", 1, "c", 1.0)], SCHEMA)
+        with pytest.raises(ValueError, match="finite"):
+            effects.fit_chain(df, "y", FACTORS)
+
+
 def test_many_levels_are_fitted_stepwise(spark):
     rows = [(f"id{i % 700}", i % 900, "c", float(i % 13)) for i in range(3000)]
     df = spark.createDataFrame(rows, SCHEMA)
-    model = effects.fit_chain(df, "y", FACTORS)
+    model = effects.fit_chain(df, "y", FACTORS, "stepwise")
     assert model.method == "stepwise"
     mu, tables, scores = by_hand(rows)
     assert model.rmses() == pytest.approx(scores, rel=1e-9, abs=1e-9)
@@ -155,6 +169,6 @@ def test_fit_refuses_missing_outcomes_and_doubled_factors(spark):
 def test_comparison_has_a_row_per_model(spark):
     df = spark.createDataFrame(data(), SCHEMA)
     model = effects.fit_chain(df, "y", FACTORS)
-    out = effects.comparison(df, model, ["mean", "a", "a b", "a b c"], df).collect()
+    out = effects.comparison(spark, model, ["mean", "a", "a b", "a b c"], df).collect()
     assert [r["model"] for r in out] == ["mean", "a", "a b", "a b c"]
     assert all(r["rmse"] == pytest.approx(r["holdout_rmse"]) for r in out)

@@ -99,3 +99,31 @@ def test_levels_off_the_axis_are_left_out(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 3.0)], "f string, y double")
     out = boxplot.box_stats(boxplot.boxes(df, "y", ["f"], {"f": ["b"]})).collect()
     assert [(r["level"], r["place"]) for r in out] == [("b", 1)]
+
+
+def test_not_a_number_is_refused(spark):
+    from hedonica.operators.histogram import histogram
+
+    for odd in (float("nan"), float("inf")):
+        df = spark.createDataFrame([(1.0,), (odd,), (2.0,)], "v double")
+        with pytest.raises(Exception, match="not a number|not finite"):
+            histogram(df, F.col("v"), 4).collect()
+
+
+def test_numbers_are_coded_by_value(spark):
+    df = spark.createDataFrame([(2,), (9,), (10,), (100,), (-3,), (None,)], "n int")
+    got = {r["level"]: r["code"] for r in profile.level_codes(df, ["n"]).collect()}
+    assert got == {"-3": 1, "2": 2, "9": 3, "10": 4, "100": 5}
+
+
+def test_levels_with_one_lead_are_coded_over_many_tasks(spark):
+    df = spark.range(100_000).selectExpr("concat('Customer#', lpad(id, 9, '0')) AS c", "id % 3 AS n")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        codes = profile.level_codes(df, ["c", "n"])
+        wrong = codes.where("factor = 'c' AND code <> cast(substring(level, 10) AS int) + 1")
+        assert wrong.count() == 0 and codes.count() == 100_003
+        parts = profile.written(spark.range(1), "t")  # the helper that holds the ranges
+        assert parts.count() == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

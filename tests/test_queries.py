@@ -13,7 +13,7 @@ from conftest import plan_of  # noqa: E402
 from hedonica import fixed_values as fixed  # noqa: E402
 from hedonica.plans.workspace import workspace  # noqa: E402
 
-SQL = entry.oracle.oracle_sql(entry.catalog.FREQUENT_PER_MILLE)
+SQL = entry.oracle.oracle_sql()
 QUERIES = entry.catalog.queries()
 
 

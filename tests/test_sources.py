@@ -3,7 +3,8 @@ import csv
 import pytest
 from hedonica import fixed_values as fixed
 from hedonica.operators.clean import tidy
-from hedonica.session import fresh_path, shared_dir
+from hedonica.plans.workspace import TABLES, Workspace, workspace
+from hedonica.session import fresh_path, shared_dir, written
 from hedonica.sources.sales_csv import (
     read_csv, read_exported, read_sales, rename_by_position, write_csv,
 )
@@ -58,6 +59,49 @@ def test_export_keeps_missing_and_blanks(spark):
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
 
 
+def test_quoted_text_before_the_price(spark, tmp_path):
+    quoted = list(ROW)
+    quoted[9] = 'THE "OLD" HOUSE, 15 FIRST STREET'
+    sales = read_sales(spark, sales_file(tmp_path, [quoted])).first()
+    assert (sales["address"], sales["price"]) == (quoted[9], "6625000")
+
+
+def test_export_keeps_quotes_commas_and_line_breaks(spark):
+    rows = [('say "hi", ok', 1.0), ("two\nlines", 2.0), ('"', 3.0), ("a,b", None)]
+    df = spark.createDataFrame(rows, "t string, x double")
+    path = fresh_path(spark, "export")
+    write_csv(df, path)
+    back = read_exported(spark, path, df.schema, multi_line=True)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_written_tables_are_deleted_with_their_workspace(spark, small_dir):
+    import os
+
+    w = Workspace(spark, small_dir)
+    w.tidy
+    assert len(w.owned) == 2 and all(os.listdir(p.removeprefix("file:")) for p in w.owned)
+    held = list(w.owned)
+    w.close()
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in held)
+
+
+def test_without_a_shared_folder_rows_are_kept_by_spark(spark, monkeypatch):
+    monkeypatch.setattr("hedonica.session.shared_dir", lambda spark: None)
+    df = written(spark.range(3), "t")
+    assert df.is_cached and df.count() == 3
+    df.unpersist()
+
+
+def test_changed_tables_begin_a_new_workspace(spark, tmp_path):
+    for t in TABLES:
+        spark.range(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    first = workspace(spark, str(tmp_path))
+    assert workspace(spark, str(tmp_path)) is first
+    spark.range(2).write.mode("overwrite").parquet(str(tmp_path / "part.parquet"))
+    assert workspace(spark, str(tmp_path)) is not first
+
+
 def test_shared_dir_is_the_named_one(spark):
     class Conf:
         def get(self, key, default=None):
@@ -83,5 +127,8 @@ def test_a_cluster_must_name_a_shared_dir():
     class Unnamed:
         conf, sparkContext = Conf(), Context()
 
+    Context.master = "local[4]"
+    assert shared_dir(Unnamed()) is None
+    Context.master = "yarn"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Unnamed())

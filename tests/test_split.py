@@ -70,3 +70,19 @@ def test_repeated_keys_and_missing_outcomes_are_refused(spark):
     gap = spark.createDataFrame([("a", 1.0), ("b", None)], "key string, y double")
     with pytest.raises(ValueError, match="NULL"):
         stratified_split(gap, "y", "key", 0.25, 1)
+
+
+def test_missing_keys_are_refused(spark):
+    rows = [(None if i % 10 == 0 else f"k{i}", float(i)) for i in range(1000)]
+    with pytest.raises(ValueError, match="NULL"):
+        stratified_split(spark.createDataFrame(rows, "key string, y double"), "y", "key", 0.2, 1)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.37, 1.0])
+def test_parts_are_all_rows_whatever_is_missing(spark, share):
+    df = spark.createDataFrame(outcome(spark), "key string, y double")
+    split = stratified_split(df, "y", "key", share, 7)
+    odd = df.union(spark.createDataFrame([(None, 4.0), ("x", None), (None, None)], df.schema))
+    train, rest = split.train(odd), split.holdout(odd)
+    assert train.count() + rest.count() == odd.count()
+    assert train.intersect(rest).count() == 0
