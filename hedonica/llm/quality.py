@@ -178,6 +178,9 @@ def limits(docs: DataFrame, lang: str = "lang", source: str = "source") -> DataF
 
 def _finest(wide: DataFrame) -> DataFrame:
     """For each language and source: the limits of the smallest group with enough documents."""
+    wide, _ = settled(wide, "quality-groups")
+    corpus = wide.where(F.col("level") == 2).first()
+    corpus = corpus.asDict() if corpus else {}
 
     def at(level: int, *names: str) -> DataFrame:
         held = F.struct("docs", *SIGNS).alias(f"at{level}")
@@ -185,9 +188,10 @@ def _finest(wide: DataFrame) -> DataFrame:
 
     pairs = at(0, "lang", "source")
     langs = at(1, F.col("lang").alias("_lang"))
-    joined = pairs.join(F.broadcast(at(2)), F.lit(True)).join(langs, pairs["lang"].eqNullSafe(F.col("_lang")))
+    joined = pairs.join(langs, pairs["lang"].eqNullSafe(F.col("_lang")))
+    whole = F.struct(*[F.lit(corpus.get(c)).cast("bigint").alias(c) for c in ("docs", *SIGNS)])
     use = F.when(F.col("at0.docs") >= MIN_DOCS, F.col("at0"))
-    use = use.when(F.col("at1.docs") >= MIN_DOCS, F.col("at1")).otherwise(F.col("at2"))
+    use = use.when(F.col("at1.docs") >= MIN_DOCS, F.col("at1")).otherwise(whole)
     return joined.select("lang", "source", use.alias("use")).select(
         "lang", "source", *[F.col(f"use.{s}").alias(s) for s in SIGNS]
     )

@@ -14,7 +14,5 @@ from hedonica.llm import queries  # noqa: E402
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, small_dir, name):
     con = duck(small_dir)
-    for t in ("documents", "benchmark", "pages"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small_dir}/{t}.parquet'")
     found = compare(spark, con, small_dir, name, queries.queries()[name], queries.oracle_sql()[name])
     assert found == ""
