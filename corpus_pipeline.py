@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hedonica import session
 from hedonica.llm import decontaminate, packing, pii, quality, simhash
 from hedonica.llm.common import table
 from hedonica.session import written
@@ -56,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What earlier stages have written is deleted once it is used."""
+    docs, used = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
+        known = len(session.paths)
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = session.paths[known:]
+        session.delete(spark, used + made[:-1])
+        used = made[-1:]
     return docs

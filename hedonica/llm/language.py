@@ -118,8 +118,10 @@ class Classifier:
         return RANKS * len(top) - near
 
     def of(self, text: str | None) -> tuple[str, float]:
-        top = profile(text or "")
-        if not len(top) or not self.names:
+        if not text or not self.names or not any(map(str.isalpha, text)):
+            return UNKNOWN, 0.0
+        top = profile(text)
+        if not len(top):
             return UNKNOWN, 0.0
         far = self.distances(top)
         best = int(np.argmin(far))

@@ -50,7 +50,7 @@ def test_distance_is_out_of_place():
 def test_cases(spark, documents):
     rows = [(i, "the cat and the dog of the house", "en", "s") for i in range(20)]
     rows += [(100 + i, "der Hund und die Katze des Hauses", "de", "s") for i in range(20)]
-    rows += [(50, None, "en", "s"), (51, "12 ?! _", "de", "s"), (52, "", None, None), (None, "the dog", "xx", "s")]
+    rows += [(50, None, "en", "s"), (51, "12 ?! _ ²½", "de", "s"), (52, "", None, None), (None, "the dog", "xx", "s")]
     rows += [(53, "the house " * 200_000, "en", "s"), (54, "und die Katze", None, None), (54, "und die Katze", None, None)]
     got = L.held_out_predictions(documents(rows, extra=True)).collect()
     assert len(got) == len(rows)

@@ -5,6 +5,7 @@ from collections import defaultdict
 import __spark_entry__ as entry
 import corpus_pipeline as P
 import numpy as np
+from hedonica import session
 from hedonica.llm.common import table
 from hedonica.llm.word_ids import word_ids
 from hedonica.session import written
@@ -66,6 +67,8 @@ def test_stages(spark, small_dir):
     assert packed == ids
 
 
-def test_run_equals_the_stages(spark, small_dir):
+def test_run_leaves_only_its_result(spark, small_dir):
+    known = set(session.paths)
     got = P.run(spark, small_dir)
     assert got.columns[:2] == ["doc_id", "start"] and got.count() > 0
+    assert len(set(session.paths) - known) == 1
