@@ -12,6 +12,9 @@ from hedonica.operators.profile import long_form
 from hedonica.operators.quantiles import exact_quantiles
 from hedonica.session import lookup, settled
 
+# Bins of a pass for each of many groups: with fewer, a task shuffles fewer counts.
+BINS = 128
+
 
 def shown(axis: Mapping[str, Sequence[str]]) -> Column:
     """Factors with an axis list show the listed levels only."""
@@ -62,7 +65,7 @@ def boxes(
     points = long_form(df, factors, [key, y] if key else [y]).where(shown(axis))
     reach = F.lit(coef) * (F.col("q3") - F.col("q1"))
     table, small = settled(
-        exact_quantiles(points, y, [0.25, 0.5, 0.75], by=["factor", "level"])
+        exact_quantiles(points, y, [0.25, 0.5, 0.75], by=["factor", "level"], bins=BINS)
         .select("factor", "level", "n", F.col("q")[0].alias("q1"),
                 F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
         .withColumn("fence_low", F.col("q1") - reach)

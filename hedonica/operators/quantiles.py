@@ -110,8 +110,12 @@ def exact_quantiles(
         if small:
             # Bins are numbered alike for all groups, so this reaches the scan's rows
             # before they are spread over groups; at most ``bins`` numbers are listed.
-            hit = sorted({r["_bin"] for r in left.select("_bin").collect()})
+            held = left.select("_bin", "_lo", "_hi").collect()
+            hit = sorted({r["_bin"] for r in held})
             rows = rows.where(F.col("_bin").isin(*hit))
+            # The plain range lets the scan skip row groups.
+            least, most = min(r["_lo"] for r in held), max(r["_hi"] for r in held)
+            rows = rows.where(F.col("_v").between(least, most))
         named = left.withColumnsRenamed({k: f"{k}_of" for k in [*keys, "_bin"]})
         inside = (rows["_v"] >= left["_lo"]) & (rows["_v"] <= left["_hi"])
         near = lookup(
