@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Longer words are encoded each time, so that a cache entry has a bounded size.
 CACHED_CHARS = 48
-# Words a worker remembers (about 100 MB); a full cache starts again from empty.
-CACHED_WORDS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +39,32 @@ def tokenizer(name: str):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(tokenizer_path(name))
+
+
+class Remembered(dict):
+    """Results of ``find`` for short texts: those of the last ``size`` to ``2 * size`` asked for.
+
+    A full generation becomes the old one; what is asked for again moves to the new one.
+    """
+
+    def __init__(self, find, size: int):
+        super().__init__()
+        self.find, self.size, self.old = find, size, {}
+
+    def __missing__(self, text: str):
+        value = self.old.get(text)
+        if value is None:
+            value = self.find(text)
+        self.keep(text, value)
+        return value
+
+    def keep(self, text: str, value) -> None:
+        if len(text) <= CACHED_CHARS:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[text] = value
+
+    def unknown(self, texts) -> set[str]:
+        old = self.old
+        return {t for t in set(texts) if t not in self and t not in old}

@@ -24,44 +24,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedonica.llm.common import CACHED_CHARS, CACHED_WORDS, tokenizer
+from hedonica.llm.common import CACHED_CHARS, Remembered, tokenizer
 
 BYTE_BPE = "byte_bpe_50k.json"
 LIMIT = 1024
 # Bounds of the first tier: entries of one task's summary, and of the table.
 SUMMARY = 4_096
 TABLE = 32_768
+# Misses that a worker remembers, twice at most: about 150 MB.
+CACHED_PARTS = 400_000
 PART = re.compile(" ?[^ ]+| +(?= )| ")
 JOIN = "\x00"
 
 
-class PartLengths(dict):
-    """Part -> its number of tokens; starts from the table, asks the library for the rest."""
+class PartLengths:
+    """Numbers of tokens, from the table first, then from what the library said before."""
 
     def __init__(self, name: str, parts: str, lengths: np.ndarray):
         tok = tokenizer(name)
-        self.encode = tok.encode
-        self.first = dict(zip(parts.split(JOIN), lengths.tolist())) if len(lengths) else {}
-        super().__init__(self.first)
+        first = dict(zip(parts.split(JOIN), lengths.tolist())) if len(lengths) else {}
+
+        def library(part: str) -> int:
+            return len(tok.encode(part, add_special_tokens=False).ids)
+
+        second = Remembered(library, CACHED_PARTS)
+
+        def length(part: str) -> int:
+            n = first.get(part)
+            return second[part] if n is None else n
+
+        self.library, self.length = library, length
         added = [t.content for t in tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or "(?!)").search
 
-    def __missing__(self, part: str) -> int:
-        n = len(self.encode(part, add_special_tokens=False).ids)
-        if len(part) <= CACHED_CHARS:
-            if len(self) >= CACHED_WORDS + len(self.first):
-                self.clear()
-                self.update(self.first)
-            self[part] = n
-        return n
-
     def of(self, text: str | None) -> int:
         """Tokens of a whole text. One that holds a special string is encoded as a whole."""
         if not text:
             return 0
         if self.special(text):
-            return len(self.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.__getitem__, PART.findall(text)))
+            return self.library(text)
+        return sum(map(self.length, PART.findall(text)))
 
 
 @lru_cache(maxsize=2)
