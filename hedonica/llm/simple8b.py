@@ -25,6 +25,10 @@ BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 ESCAPE, ZEROS = 0, 15
 SPARE = int(COUNTS.max())  # room for what the last word of a block holds beyond its end
 LIMITS = np.uint64(1) << np.array([0, *BITS[1:15]], dtype=np.uint64)
+# Selectors from the fewest values to the most: where one fits, all before it do.
+BY_COUNT = np.array([ESCAPE, *range(14, 0, -1), ZEROS], dtype=np.uint8)
+# The least selector that is wide enough (0 for zeros, 15 for escapes), of small values.
+SMALL = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -34,7 +38,9 @@ def encode(values: np.ndarray) -> bytes:
     blocks = -(-n // BLOCK)
     grid = np.zeros((blocks, BLOCK + SPARE), dtype=np.uint64)
     ends = np.minimum(BLOCK, n - BLOCK * np.arange(blocks))
-    grid[:, :BLOCK][np.arange(BLOCK) < ends[:, None]] = values
+    whole = n // BLOCK
+    grid[:whole, :BLOCK] = values[: whole * BLOCK].reshape(whole, BLOCK)
+    grid[whole:, : n - whole * BLOCK] = values[whole * BLOCK :]
     selectors = _selectors(grid)
     row, start = _walk(selectors, ends)
     chosen = selectors[row, start]
@@ -59,18 +65,22 @@ def encode(values: np.ndarray) -> bytes:
 
 def _selectors(grid: np.ndarray) -> np.ndarray:
     """For every position: the selector that packs most of the values from there on."""
-    width = np.searchsorted(LIMITS, grid, side="right").astype(np.uint8)  # 15: an escape
-    out = np.full((len(grid), BLOCK), ESCAPE, dtype=np.uint8)
-    least = width[:, :BLOCK].min(initial=255)
-    for s in [*range(14, 0, -1), ZEROS]:
-        limit = s if s != ZEROS else 0
-        if limit < least:
-            continue  # nothing is that small
-        wide = np.zeros((len(grid), BLOCK + SPARE + 1), dtype=np.int16)
-        np.cumsum(width > limit, axis=1, dtype=np.int16, out=wide[:, 1:])
-        count = int(COUNTS[s])
-        out[wide[:, count : count + BLOCK] == wide[:, :BLOCK]] = s
-    return out
+    if grid.max(initial=0) < len(SMALL):
+        widest = SMALL[grid.astype(np.uint16)]
+    else:
+        widest = np.searchsorted(LIMITS, grid, side="right").astype(np.uint8)
+    fitting = np.zeros((len(grid), BLOCK), dtype=np.uint8)
+    held = 1  # widest[i] is the widest of so many values from i on
+    for s in BY_COUNT[1:].tolist():
+        more = int(COUNTS[s]) - held
+        if more:
+            widest = np.maximum(widest[:, :-more], widest[:, more:])
+            held += more
+        fits = widest[:, :BLOCK] <= (0 if s == ZEROS else s)
+        if not fits.any():
+            break
+        fitting += fits
+    return BY_COUNT[fitting]
 
 
 def _walk(selectors: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
