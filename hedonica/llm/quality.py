@@ -223,8 +223,8 @@ def judged(docs: DataFrame, lang: str = "lang", source: str = "source") -> tuple
         m["lines"]["again"].cast("long").alias("n_dup_lines"),
         again.cast("long").alias("n_repeat_words"),
         failed.alias("base_failed"),
-        # the limits take part in the whole verdict, so it is not computed before the join
-        (~failed & ~beyond & F.coalesce(F.col(fence)["length"] >= 0, F.lit(True))).alias("kept"),
+        # a sum, which a filter can't split and so compute in part again before the join
+        (failed.cast("int") + beyond.cast("int") == 0).alias("kept"),
     )
     return measured.withColumn(name, verdict).drop(key_lang, key_source, fence), name
 
