@@ -1,8 +1,8 @@
 """Token counts by a two-tier lookup, without a shuffle of what the texts are cut into.
 
-Texts are cut before every single space that a character follows. A byte-level vocabulary
-of this kind always starts a pre-token there, so parts are encoded apart. The first tier is
-a compact table of the corpus's frequent parts and their lengths in tokens, broadcast to
+Texts are cut before every space that a character other than white space follows. A
+byte-level vocabulary of this kind always starts a pre-token there, so parts are encoded
+apart; a run of white space of any kind stays in one part. The first tier is a compact table of the corpus's frequent parts and their lengths in tokens, broadcast to
 all tasks: parts joined into one string, and one byte a length. The second tier is the
 worker's cache of what the first one misses, filled by the library.
 
@@ -33,7 +33,7 @@ SUMMARY = 4_096
 TABLE = 32_768
 # Misses that a worker remembers, twice at most: about 150 MB.
 CACHED_PARTS = 400_000
-PART = re.compile(" ?[^ ]+| +(?= )| ")
+PART = re.compile(r" ?(?:[^ ]+| +(?!\S))+")
 JOIN = "\x00"
 
 

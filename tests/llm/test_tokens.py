@@ -35,6 +35,24 @@ def test_counts_equal_the_library(text):
     assert lengths.of(text) == len(ids_of(text, token_counts.BYTE_BPE))
 
 
+BLANKS = st.text(alphabet=st.sampled_from(list("a1.    \xa0\xa0\u3000\t\n\r\x85\u2003\x1c")), max_size=30)
+
+
+@given(BLANKS)
+@settings(max_examples=400, deadline=None)
+def test_counts_of_white_space_equal_the_library(text):
+    lengths = token_counts.part_lengths(token_counts.BYTE_BPE, *token_counts.length_table([" a", " ", "\xa0"]))
+    assert "".join(token_counts.PART.findall(text)) == text
+    assert lengths.of(text) == len(ids_of(text, token_counts.BYTE_BPE))
+
+
+@pytest.mark.parametrize("pairs", [1, 2, 3, 5, 9])
+def test_no_break_spaces_between_blanks(pairs):
+    text = "Home" + " \xa0" * pairs + " About"
+    lengths = token_counts.part_lengths(token_counts.BYTE_BPE, *token_counts.length_table([" \xa0", " About"]))
+    assert lengths.of(text) == len(ids_of(text, token_counts.BYTE_BPE))
+
+
 @given(st.lists(st.one_of(st.integers(0, 2**64 - 1), st.integers(0, 70000), st.integers(0, 3), st.just(0)), max_size=1500))
 @settings(max_examples=60, deadline=None)
 def test_simple8b_round_trip(values):
