@@ -1,18 +1,21 @@
 """Licence notices in documents, by a trained classifier of paragraphs.
 
-Paragraphs are lines. A multinomial logistic regression over hashed words and word pairs
+Paragraphs are lines, judged in passages of at most ``PASSAGE`` words, which overlap; each
+passage is classified whole and in windows of ``WINDOW`` words, of which the best confirmed
+one stands for it. So a notice is found whatever number of words its line has. A multinomial logistic regression over hashed words and word pairs
 (sparse) tells licence families from each other and from ``unknown``. It is trained here, on
-the notices of ``licence_texts`` and parts of them, and, for ``unknown``, on paragraphs of a
+the notices of ``licence_texts``, parts of them and both inside other words, and, for ``unknown``, on windows of a
 bounded sample of the documents: about ``SAMPLE_DOCS``, chosen by a hash of their id, and at
-most ``SAMPLE_PARAGRAPHS`` of their paragraphs that share little with any notice. Half of
+most ``SAMPLE_PARAGRAPHS`` of their windows that share little with any notice. Half of
 these are held back to calibrate: a family is believed from the probability on that at most
 ``FALSE_SHARE`` of the held-back paragraphs reach for any family.
 
 A prediction is confirmed by comparison with the family's notices: of the pairs of words of
-the shorter of the two, ``SHARED`` at least must be in both. A paragraph that shares no pair
+the shorter of the two, ``SHARED`` at least must be in both. A window that shares no pair
 with any notice can't be confirmed, so only the others are classified: a bit table of the
 notices' pairs sorts them out in the scan, whatever the rest of the text. One row for each
-confirmed paragraph; no shuffle, no Python.
+paragraph and family confirmed in it, with the best passage (the paragraph itself, if it has
+no more than ``PASSAGE`` words). Only confirmed windows are shuffled; no Python.
 
 NULL and empty texts have no paragraphs; repeated rows are found alike; an empty table gives
 no rows and is trained on the notices alone; extra columns are left out.
@@ -42,6 +45,12 @@ SHARED = 0.6
 UNKNOWN = "unknown"
 NAMES = [UNKNOWN, *FAMILIES]
 TABLE_BITS = 1 << 17
+# Words of a passage and of a window in it, and from one start to the next. Any notice has
+# three quarters of its words, or a whole window, in some window.
+PASSAGE, PASSAGE_STEP = 64, 48
+WINDOW, WINDOW_STEP = 16, 8
+# Words around a notice in training: on each side.
+AROUND = [5, 24]
 
 
 def words(text: Column) -> Column:
@@ -102,6 +111,30 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
 
 
+def cut(text: Column, size: int, step: int) -> Column:
+    """Overlapping parts of at most ``size`` words; a text of no more words is its one part."""
+
+    def parts(w: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(w) - size) / step), F.lit(0)).cast("int")
+        some = F.transform(
+            F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(w, k * step + 1, size), "")
+        )
+        return F.when(F.size(w) <= size, F.array(text)).otherwise(some)
+
+    return let(F.regexp_extract_all(text, F.lit("[\\p{L}\\p{N}]++[^\\p{L}\\p{N}]*+"), F.lit(0)), parts)
+
+
+def passages(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each passage of their ``text``, numbered by ``passage``."""
+    others = [c for c in rows.columns if c != "text"]
+    return rows.select(*others, F.posexplode(cut(F.col("text"), PASSAGE, PASSAGE_STEP)).alias("passage", "text"))
+
+
+def windows(text: Column) -> Column:
+    """A passage whole, and its windows."""
+    return F.array_distinct(F.concat(F.array(text), cut(text, WINDOW, WINDOW_STEP)))
+
+
 def best_share(mine: Column, notice_pairs: Column) -> Column:
     """Greatest share of common pairs with a notice, of the shorter of the two."""
 
@@ -133,11 +166,13 @@ def _features(rows: DataFrame) -> DataFrame:
 
 
 def background(docs: DataFrame) -> DataFrame:
-    """Paragraphs of the sample that are no notices: ``text`` and whether it is ``held`` back."""
+    """Windows of the sample that are no notices: ``text`` and whether it is ``held`` back."""
     spark = docs.sparkSession
     one_in = max(1, docs.count() // SAMPLE_DOCS)
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).limit(4 * SAMPLE_DOCS)
-    lines = paragraphs(sample).select("text").distinct().where(F.size(words(F.col("text"))) > 1)
+    lines = passages(paragraphs(sample).select("text").distinct())
+    lines = lines.select(F.explode(windows(F.col("text"))).alias("text")).distinct()
+    lines = lines.where(F.size(words(F.col("text"))) > 1)
     every = [pair for row in notices(spark).collect() for pair in row["pairs"]]  # bounded by the notices
     every = F.from_json(F.lit(json.dumps(every)), "array<array<string>>")
     lines = lines.where(best_share(let(words(F.col("text")), pairs), every) < SHARED / 2)
@@ -159,13 +194,29 @@ def examples(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "label double, text string")
 
 
+def surrounded(spark: SparkSession, other: list[str]) -> DataFrame:
+    """``label, text`` of notices between words of other texts; none without other texts."""
+    around, rows = " ".join(other).split(), []
+    for label, name in enumerate(NAMES):
+        for text in FAMILIES.get(name, []):
+            for n in AROUND:
+                if len(around) >= 2 * n:
+                    at = 97 * len(rows) % (len(around) - 2 * n + 1)
+                    before, after = around[at : at + n], around[at + n : at + 2 * n]
+                    rows.append((float(label), " ".join([*before, text, *after])))
+    return spark.createDataFrame(rows, "label double, text string")
+
+
 def train(docs: DataFrame) -> Model:
     """The classifier and its calibrated threshold."""
     spark = docs.sparkSession
     other = written(background(docs), "licence-sample")
     # one unknown row, so that the class exists even without any document
     none = spark.createDataFrame([(0.0, "nothing of this kind")], "label double, text string")
-    rows = examples(spark).union(none).union(other.where("not held").select(F.lit(0.0), "text"))
+    unknown = other.where("not held")
+    between = unknown.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS).collect()
+    rows = examples(spark).union(surrounded(spark, [r["text"] for r in between])).union(none)
+    rows = rows.union(unknown.select(F.lit(0.0), "text"))
     fit = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, tol=1e-5)
     model = Model(fit.fit(_features(rows).select("label", "features").coalesce(1)), 0.0)
     held = model.predicted(other.where("held"))
@@ -176,15 +227,27 @@ def train(docs: DataFrame) -> Model:
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, paragraph, family, probability, similarity, text`` of confirmed paragraphs.
 
-    ``paragraph`` counts the lines of a text from 0.
+    ``paragraph`` counts the lines of a text from 0; ``text`` is the passage.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     model = train(docs)
     table = pair_table(spark)
-    candidates = paragraphs(docs).where(may_match(F.col("text"), table))
+    # repeated rows are told apart by a number
+    lines = paragraphs(docs.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id().alias("row"))))
+    candidates = passages(lines.where(may_match(F.col("text"), table)))
+    candidates = candidates.withColumnRenamed("text", "whole")
+    candidates = candidates.withColumn("text", F.explode(windows(F.col("whole"))))
+    candidates = candidates.where(may_match(F.col("text"), table))
     found = model.predicted(candidates).where(F.col("probability") >= model.least)
     found = found.join(F.broadcast(notices(spark)), "family")
     similarity = best_share(let(words(F.col("text")), pairs), F.col("pairs"))
     found = found.withColumn("similarity", similarity).where(F.col("similarity") >= SHARED)
-    return found.select("doc_id", "paragraph", "family", "probability", "similarity", "text")
+    order = ["similarity", "probability", "family", "whole"]
+    best = F.max(F.struct(*order)).alias("best")
+    found = found.groupBy("doc_id", "paragraph", "passage").agg(best).select("doc_id", "paragraph", "best.*")
+    found = found.groupBy("doc_id", "paragraph", "family").agg(best)
+    return found.select(
+        "doc_id.doc_id", "paragraph", "family", "best.probability", "best.similarity",
+        F.col("best.whole").alias("text"),
+    )

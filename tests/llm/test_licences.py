@@ -42,6 +42,25 @@ def test_every_notice_is_recognised(spark, documents):
     assert right >= 0.95 * len(texts) and right >= 0.97 * len(got)
 
 
+@pytest.mark.parametrize("around", [50, 100, 300])
+def test_notices_inside_long_lines_are_found(spark, documents, around):
+    texts = [(f, t) for f, ts in Z.FAMILIES.items() for t in ts[:2]]
+    plain = " and so ".join(PLAIN * 5).split()
+    assert len(plain) >= 300
+    rows = [(i, " ".join([*plain[: around // 2], t, *plain[-(around // 2) :]])) for i, (_, t) in enumerate(texts)]
+    got = Z.scan(documents(rows + [(100 + i, t) for i, t in enumerate(PLAIN)])).collect()
+    right = {r.doc_id for r in got if r.doc_id < 100 and texts[r.doc_id][0] == r.family}
+    assert len(right) >= 0.95 * len(texts)
+    assert not [r for r in got if r.doc_id >= 100]
+
+
+def test_notices_of_two_families_in_one_line(spark, documents):
+    plain = " ".join(PLAIN * 2)
+    line = f"{plain} Released under the MIT License. {plain} Licensed under CC BY-NC 4.0. {plain}"
+    got = Z.scan(documents([(1, line), (1, line)] + [(100 + i, t) for i, t in enumerate(PLAIN)])).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == [(1, 0, "cc-by-nc")] * 2 + [(1, 0, "mit")] * 2
+
+
 def test_bit_table_has_every_pair(spark):
     df = Z.notices(spark).select(F.explode(F.flatten("pairs")).alias("t"))
     assert df.where(~Z.may_match(F.col("t"), Z.pair_table(spark))).count() == 0
