@@ -82,6 +82,20 @@ class Kind:
     base: bool = False
 
 
+# Lengths of account numbers by country, as registered, and those in use beside the register.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL FK SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST AO CV GW MZ",
+    26: "IS TR DZ IR", 27: "FR GR IT MC MR SM BI CF CG CM DJ GA GQ KM MG TD", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV BF BJ CI MA ML NE SN TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_KNOWN = "(?:" + "|".join(" ".join(IBAN_COUNTRIES.values()).split()) + ")[0-9]{2}"
+# The country tells the length; of other codes as much as there is, up to a known country's number.
+_IBAN = "|".join(
+    [f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()]
+    + [f"(?!{_IBAN_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:(?! {_IBAN_KNOWN}) ?[A-Z0-9]){{11,30}}"]
+)
 _LOCAL = "A-Za-z0-9._%+-"
 # The first four are fixed by contract: patterns match what those of the contract match.
 KINDS = [
@@ -104,7 +118,7 @@ KINDS = [
         "\\+[0-9]", lambda m: n_digits_between(m, 9, 15), 0.6, "phone|tel|call|fax|mobile", base=True,
     ),
     Kind(
-        "iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+        "iban", f"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])",
         "[A-Z]{2}[0-9]{2}", mod97, 0.7, "iban|account|bank|konto",
     ),
     Kind(

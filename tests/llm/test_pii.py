@@ -78,6 +78,20 @@ def test_added_spans(spark, documents, text, want):
     assert pii.digests(documents([text])).first().spans == want
 
 
+FOLLOWED = [
+    ("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "iban:0:27"),
+    ("DE89370400440532013000 BIC COBADEFF", "iban:0:22"),
+    ("GB82 WEST 1234 5698 7654 32 2024 paid", "iban:0:27"),
+    ("AB12 CDEF GHIJ KLMN DE89 3704 0044 0532 0130 00", "iban:20:47"),
+    ("GB82 WEST 1234 5698 7654 32 DE89370400440532013000", "iban:0:27,iban:28:50"),
+]
+
+
+@pytest.mark.parametrize("text, want", FOLLOWED)
+def test_account_numbers_before_other_words(spark, documents, text, want):
+    assert pii.digests(documents([text])).first().spans == want
+
+
 def test_redaction(spark, documents):
     rows = [
         (1, "mail a@b.co or call +1 (383) 555-6083."), (2, None), (3, ""), (4, "none"), (5, "1.2.3.4@x.com!"),
