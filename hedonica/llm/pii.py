@@ -1,10 +1,11 @@
 """Personal data in texts: patterns propose, checksums confirm, context words adjust.
 
 For each kind a regular expression proposes leftmost non-overlapping spans. A text is split
-at them, so their places follow from the lengths of the pieces, and the words before a span
-are the end of the piece before it. Card numbers must pass Luhn, account numbers (IBAN)
+at them, so their places follow from the lengths of the pieces, and the words around a span
+are the ends of the pieces beside it; where these have no word that counts, words further on
+are read across neighbouring spans, and entries of a list share theirs. Card numbers must pass Luhn, account numbers (IBAN)
 mod-97; both then count as certain. The kinds without a checksum start from a lower score,
-which words like ``phone`` or ``ssn`` just before raise and words like ``invoice`` lower; a
+which words like ``phone`` or ``ssn`` just before or after raise and words like ``invoice`` lower; a
 span is taken from a score of ``ACCEPT`` on. The four base kinds are taken whenever their own
 check holds; their score only tells how sure it is.
 
@@ -31,7 +32,9 @@ CONTEXT_WEIGHT = 0.3
 # Spans that are added up, or cut out, at a time: keeps a text with many spans linear.
 AT_ONCE = 128
 SPAN = "struct<start:int,end:int,score:double>"
-PLACED = "struct<start:int,size:int,text:string,before:string>"
+PLACED = "struct<start:int,size:int,text:string,before:string,after:string>"
+# What may stand between the entries of a list: they share the words around the list.
+BETWEEN = "(?i)^[^\\p{L}]*+(?:(?:and|or)\\b[^\\p{L}]*+)?$"
 
 
 def digits(text: Column) -> Column:
@@ -134,7 +137,7 @@ KINDS = [
 DOUBT = "invoice|order|isbn|version|serial"
 
 
-def running(items: Column, item_type: str, step, emit) -> Column:
+def running(items: Column, item_type: str, step, emit, total: str = "int") -> Column:
     """``emit(total before, item)`` for each item; ``step`` gives the next total.
 
     Arrays are copied when they grow, so items are taken ``AT_ONCE`` at a time.
@@ -142,7 +145,7 @@ def running(items: Column, item_type: str, step, emit) -> Column:
 
     def one(a: Column, x: Column) -> Column:
         out = F.concat(a["out"], F.array(emit(a["at"], x)))
-        return F.struct(step(a["at"], x).cast("int").alias("at"), out.alias("out"))
+        return F.struct(step(a["at"], x).cast(total).alias("at"), out.alias("out"))
 
     def some(a: Column, k: Column) -> Column:
         zero = F.struct(a["at"].alias("at"), F.array().cast(f"array<{item_type}>").alias("out"))
@@ -150,28 +153,37 @@ def running(items: Column, item_type: str, step, emit) -> Column:
         joined = lambda p: F.struct(p["at"].alias("at"), F.concat(a["out"], F.array(p["out"])).alias("out"))
         return let(part, joined)
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{item_type}>>").alias("out"))
+    first = F.lit("" if total == "string" else 0).cast(total)
+    zero = F.struct(first.alias("at"), F.array().cast(f"array<array<{item_type}>>").alias("out"))
     parts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / AT_ONCE).cast("int"))
     every = F.aggregate(parts, zero, some, lambda a: F.flatten(a["out"]))
     return F.when(F.size(items) == 0, F.array().cast(f"array<{item_type}>")).otherwise(every)
 
 
 def proposed(text: Column, pattern: str) -> Column:
-    """Matches with their places in code points and the text just before them."""
+    """Matches with their places in code points and the text just before and after them."""
 
     def placed(found: Column) -> Column:
         matches = found["matches"]
         pieces = F.slice(found["pieces"], F.lit(1), F.size(matches))
-        items = F.zip_with(pieces, matches, lambda p, m: F.struct(
-            F.length(p).alias("gap"), F.length(m).alias("size"), m.alias("text"),
-            F.right(p, F.lit(CONTEXT_CHARS)).alias("before"),
+        beside = F.arrays_zip(
+            F.transform(pieces, lambda p: F.struct(
+                F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT_CHARS)).alias("before"),
+            )).alias("p"),
+            F.transform(
+                F.slice(found["pieces"], F.lit(2), F.size(matches)), lambda p: F.left(p, F.lit(CONTEXT_CHARS))
+            ).alias("after"),
+        )
+        items = F.zip_with(beside, matches, lambda b, m: F.struct(
+            b["p"]["gap"].alias("gap"), F.length(m).alias("size"), m.alias("text"),
+            b["p"]["before"].alias("before"), b["after"].alias("after"),
         ))
         return let(items, lambda items: running(
             items, PLACED,
             lambda at, x: at + x["gap"] + x["size"],
             lambda at, x: F.struct(
                 (at + x["gap"]).alias("start"), x["size"].alias("size"), x["text"].alias("text"),
-                x["before"].alias("before"),
+                x["before"].alias("before"), x["after"].alias("after"),
             ),
         ))
 
@@ -182,19 +194,43 @@ def proposed(text: Column, pattern: str) -> Column:
     return let(found, placed)
 
 
+def carried(own: Column, counts: str, before: bool) -> Column:
+    """For each of ``own`` the words that reach it, across spans if its own have none that counts."""
+
+    def seen(at: Column, x: Column) -> Column:
+        both = F.right(F.concat_ws(" ", at, x), F.lit(CONTEXT_CHARS))
+        if not before:
+            both = F.left(F.concat_ws(" ", x, at), F.lit(CONTEXT_CHARS))
+        joins = (F.length(x) < CONTEXT_CHARS) & x.rlike(BETWEEN)
+        return F.when(x.rlike(counts), x).when(joins, at).when(F.length(x) < CONTEXT_CHARS, both).otherwise(x)
+
+    return running(own, "string", seen, seen, "string")
+
+
 def spans(text: Column, kind: Kind) -> Column:
     """Accepted spans of one kind, ascending: start, end (exclusive) and score."""
 
-    def scored(x: Column) -> Column:
-        raised = F.when(x["before"].rlike(f"(?i){kind.context}"), CONTEXT_WEIGHT).otherwise(0.0)
-        lowered = F.when(x["before"].rlike(f"(?i)\\b(?:{DOUBT})"), CONTEXT_WEIGHT).otherwise(0.0)
-        score = F.least(F.lit(1.0), F.lit(kind.score) + raised - lowered)
+    context, doubt = f"(?i){kind.context}", f"(?i)\\b(?:{DOUBT})"
+
+    def scored(x: Column, words: Column) -> Column:
+        # words across spans count only if they raise: a doubt stays with the span it is beside
+        near = words["before"].rlike(context)
+        raised = F.when(near | words["after"].rlike(context), CONTEXT_WEIGHT).otherwise(0.0)
+        doubted = F.when(near, words["before"]).otherwise(x["before"]).rlike(doubt)
+        score = F.least(F.lit(1.0), F.lit(kind.score) + raised - F.when(doubted, CONTEXT_WEIGHT).otherwise(0.0))
         return F.struct(
-            x["start"].alias("start"), (x["start"] + x["size"]).alias("end"), score.alias("score")
+            x["start"].alias("start"), (x["start"] + x["size"]).alias("end"), score.alias("score"),
+            x["text"].alias("text"),
         )
 
-    held = F.filter(proposed(text, kind.pattern), lambda x: kind.holds(x["text"]))
-    found = F.transform(held, scored)
+    def judged(items: Column) -> Column:
+        before = carried(F.transform(items, lambda x: x["before"]), f"{context}|\\b(?:{DOUBT})", True)
+        after = F.reverse(carried(F.reverse(F.transform(items, lambda x: x["after"])), context, False))
+        words = F.arrays_zip(before.alias("before"), after.alias("after"))
+        held = F.filter(F.zip_with(items, words, scored), lambda x: kind.holds(x["text"]))
+        return F.transform(held, lambda x: F.struct(x["start"], x["end"], x["score"]))
+
+    found = let(proposed(text, kind.pattern), judged)
     if not kind.base:
         found = F.filter(found, lambda x: x["score"] >= ACCEPT)
     return F.when(text.rlike(kind.hint), found).otherwise(F.array().cast(f"array<{SPAN}>"))

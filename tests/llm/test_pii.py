@@ -92,6 +92,21 @@ def test_account_numbers_before_other_words(spark, documents, text, want):
     assert pii.digests(documents([text])).first().spans == want
 
 
+LISTS = [
+    ("SSNs: 111-22-3333, 222-33-4444", "ssn:6:17,ssn:19:30"),
+    ("SSNs: 111-22-3333, 222-33-4444 and 333-44-5555", "ssn:6:17,ssn:19:30,ssn:35:46"),
+    ("Tel: (555) 123-4567 / (555) 987-6543", "local_phone:5:19,local_phone:22:36"),
+    ("123-45-6789 (SSN)", "ssn:0:11"),
+    ("invoice 555 123-4567, phone 555 987-6543, order 555 222-3333", None),
+]
+
+
+def test_context_in_lists_and_after(spark, documents):
+    got = {r.doc_id: r.spans for r in pii.digests(documents([t for t, _ in LISTS])).collect()}
+    assert [got[i] for i in range(4)] == [w for _, w in LISTS[:4]]
+    assert "local_phone:28:40" in got[4] and "local_phone:48:60" not in got[4]
+
+
 def test_redaction(spark, documents):
     rows = [
         (1, "mail a@b.co or call +1 (383) 555-6083."), (2, None), (3, ""), (4, "none"), (5, "1.2.3.4@x.com!"),
