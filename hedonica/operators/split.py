@@ -105,16 +105,19 @@ def stratified_split(
         counts.withColumn("total", total)
         .withColumn("need", F.ceil(F.lit(share) * F.col("total")).cast("bigint"))
         .withColumn("before", F.sum("n").over(upto) - F.col("n"))
-        .where(reaches | F.col("prefix").isNull())
+        # the first count of a stratum too: it has the sizes, whether a row is needed or not
+        .where(reaches | (F.col("before") == 0) | F.col("prefix").isNull())
         .select("stratum", "prefix", "n", "total", "need", "before")
         .collect()
     )
     if any(r["prefix"] is None for r in found):
         raise ValueError(f"{key} has NULL values")
-    cut = {r["stratum"]: r for r in found}
-    if None in cut:
+    if any(r["stratum"] is None for r in found):
         raise ValueError(f"{y} has NULL or NaN values")
-    sizes = {s: (r["need"], r["total"]) for s, r in sorted(cut.items())}
+    sizes = {r["stratum"]: (r["need"], r["total"]) for r in sorted(found, key=lambda r: r["stratum"])}
+    cut = {r["stratum"]: r for r in found if r["before"] < r["need"] <= r["before"] + r["n"]}
+    if not cut:
+        return Split(y, key, seed, cuts, {}, sizes)
 
     def at_cut() -> Column:
         return reduce(

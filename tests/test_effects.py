@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import plan_of
+from helpers import plan_of
 from hedonica.operators import effects
 from hedonica.session import settled, written
 from pyspark.sql import functions as F

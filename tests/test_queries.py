@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry  # noqa: E402
 from compare import compare, duck  # noqa: E402
-from conftest import plan_of  # noqa: E402
+from helpers import plan_of  # noqa: E402
 from hedonica import fixed_values as fixed  # noqa: E402
 from hedonica.plans.workspace import workspace  # noqa: E402
 

@@ -86,3 +86,14 @@ def test_parts_are_all_rows_whatever_is_missing(spark, share):
     train, rest = split.train(odd), split.holdout(odd)
     assert train.count() + rest.count() == odd.count()
     assert train.intersect(rest).count() == 0
+
+
+def test_a_share_of_nothing_takes_nothing(spark):
+    df = spark.createDataFrame(outcome(spark), "key string, y double")
+    split = stratified_split(df, "y", "key", 0.0, 7)
+    assert split.train(df).count() == 0 and split.holdout(df).count() == N
+    assert all(need == 0 for need, _ in split.rows.values())
+    assert sum(total for _, total in split.rows.values()) == N
+    for gap in [("x", None), (None, 4.0)]:
+        with pytest.raises(ValueError, match="NULL"):
+            stratified_split(df.union(spark.createDataFrame([gap], df.schema)), "y", "key", 0.0, 7)
