@@ -119,4 +119,90 @@ SELECT 'urn:revisit:' || f.page_id, f.canonical_url,
 FROM found f LEFT JOIN c t ON t.page_id = f.ref
 """
 
-SQL = {"op5_decontaminate": OP5, "op6_warc": OP6, "op8_quality": OP8}
+# CRC-32 by bytes: the table's entry for a byte is that byte after eight shifts.
+CRC_TABLE = """
+crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT)
+    ORDER BY b) AS t FROM range(256) AS r(b)
+)"""
+
+OP11 = f"""
+WITH RECURSIVE {CRC_TABLE}, read AS (
+  SELECT d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+), each AS (
+  SELECT d, run, count(*) AS n, hex(encode(d || ':' || run)) AS x FROM read WHERE length(run) >= 6 GROUP BY d, run
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_transform(range(0, length(x) // 2), lambda i:
+      (strpos('0123456789ABCDEF', x[2 * i + 1]) * 16 + strpos('0123456789ABCDEF', x[2 * i + 2]) - 17)::BIGINT),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT)) AS h
+  FROM each, crc_table
+), known AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+      ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), plain AS (  -- levenshtein compares bytes, so every letter becomes one
+  SELECT word, n, length(word) AS size,
+    translate(word, '{"".join(map(chr, range(0xC0, 0x100)))}', '{"".join(chr(c) for c in range(33, 127) if not 97 <= c <= 122 and c != 39)[:64]}') AS b
+  FROM known
+), near AS (
+  SELECT a.word, a.n, x.word AS other, x.n AS other_n
+  FROM plain a JOIN plain x ON x.size BETWEEN a.size - 1 AND a.size + 1 AND a.word <> x.word
+  WHERE levenshtein(a.b, x.b) = 1
+), top AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n
+  FROM near GROUP BY word
+), judged AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+  FROM known LEFT JOIN top USING (word)
+), chain AS (
+  SELECT word, word AS root FROM judged WHERE form IS NULL
+  UNION ALL
+  SELECT j.word, c.root FROM judged j JOIN chain c ON j.form = c.word
+)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN chain USING (word)
+"""
+
+
+def _op13(rounds: int = 3) -> str:
+    """Every round by comparing all vectors with all centroids, a row for each dimension."""
+    out = """
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, sha256('1:' || vec_id) AS h,
+    list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), flat AS (
+  SELECT rid, unnest(v) AS x, unnest(range(64)) AS dim FROM kept
+), c0 AS (
+  SELECT c, unnest(v) AS m, unnest(range(64)) AS dim
+  FROM (SELECT v, row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c FROM kept) WHERE c < 16
+)"""
+    for i in range(rounds + 1):
+        out += f""", d{i} AS (
+  SELECT rid, c, sum((x - m) * (x - m))::BIGINT AS distance FROM flat JOIN c{i} USING (dim) GROUP BY rid, c
+), a{i} AS (
+  SELECT rid, min(distance) AS distance, arg_min(c, (distance, c)) AS c FROM d{i} GROUP BY rid
+)"""
+        if i < rounds:
+            out += f""", s{i} AS (
+  SELECT c, dim, sum(x)::BIGINT AS s, count(*) AS n FROM flat JOIN a{i} USING (rid) GROUP BY c, dim
+), c{i + 1} AS (
+  SELECT c, dim, coalesce((s - ((s % n) + n) % n) // n, m) AS m FROM c{i} LEFT JOIN s{i} USING (c, dim)
+)"""
+    return out + f""", named AS (
+  SELECT c, sha256(string_agg(m::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY c
+)
+SELECT vec_id, c::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN named USING (c) JOIN kept USING (rid)
+"""
+
+
+SQL = {
+    "op5_decontaminate": OP5, "op6_warc": OP6, "op8_quality": OP8, "op11_spelling": OP11,
+    "op13_centroids": _op13(),
+}

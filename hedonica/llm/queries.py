@@ -8,7 +8,10 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedonica.llm import decontaminate, language, licences, oracle, packing, pii, quality, simhash, token_counts, token_files, warc
+from hedonica.llm import (
+    centroids, decontaminate, language, licences, oracle, packing, pii, quality, simhash,
+    spelling, token_counts, token_files, warc,
+)
 from hedonica.llm.common import table
 from hedonica.session import fresh_path
 
@@ -85,9 +88,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(found).select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
 QUERIES = [
     op1_pii, op2_token_files, op3_packing, op4_simhash, op5_decontaminate, op6_warc,
-    op7_language, op8_quality, op9_licences, op10_token_counts,
+    op7_language, op8_quality, op9_licences, op10_token_counts, op11_spelling, op13_centroids,
 ]
 
 
