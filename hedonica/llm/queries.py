@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedonica.llm import (
-    centroids, decontaminate, language, licences, oracle, packing, pii, quality, simhash,
-    spelling, token_counts, token_files, warc,
+    centroids, decontaminate, language, licences, neighbours, oracle, packing, pii, quality,
+    simhash, spelling, token_counts, token_files, warc,
 )
 from hedonica.llm.common import table
 from hedonica.session import fresh_path
@@ -93,6 +93,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
     return centroids.with_inertia(found).select(
@@ -102,7 +106,8 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     op1_pii, op2_token_files, op3_packing, op4_simhash, op5_decontaminate, op6_warc,
-    op7_language, op8_quality, op9_licences, op10_token_counts, op11_spelling, op13_centroids,
+    op7_language, op8_quality, op9_licences, op10_token_counts, op11_spelling,
+    op12_neighbours, op13_centroids,
 ]
 
 
