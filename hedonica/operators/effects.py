@@ -4,7 +4,8 @@ Effect k is the mean, per level of factor k, of what the mean and the effects be
 unexplained. Order matters, nothing is refitted. NULL is a level; a level not seen in the
 fit has no effect, so its prediction is NULL.
 
-Two fits give the same numbers:
+Three fits give the same numbers, the two here and the one of ``chain``, which keeps the pairs
+distributed:
 
 * ``moments``: the chain needs only, for each pair of factors, the row counts per pair of
   levels, and the sums of y per level. Both come from one scan. Factors are put in blocks,
@@ -30,6 +31,7 @@ from pyspark.sql.types import DataType
 
 from hedonica.functions.metrics import null_count, rmse
 from hedonica.session import literal_rows, lookup, settled, written
+from hedonica.spread import spread_lookup
 
 # Pair counting brings at most this many pair counts to the driver (of 1,448 levels in all,
 # at the worst); it takes as many factors as a grouping id has bits. Beyond, it refuses.
@@ -144,7 +146,7 @@ def _fit_moments(
     shared: dict[tuple[int, int], list] = {}
     counted = pair_counts(df, F.col(y) - F.lit(mu), factors, sizes).limit(MAX_PAIRS + 1).collect()
     if len(counted) > MAX_PAIRS:
-        raise ValueError(f"more than {MAX_PAIRS} pairs of levels; fit with method='stepwise'")
+        raise ValueError(f"more than {MAX_PAIRS} pairs of levels; fit with method='stepwise' or chain.fit_joined")
     for r in counted:
         if r["j"] == r["k"]:
             own[r["k"]][r["level_k"]] = (r["n"], r["s"])
@@ -247,7 +249,8 @@ def with_effects(df: DataFrame, model: EffectModel) -> tuple[DataFrame, list[Col
     out = df
     for i, e in enumerate(model.effects):
         named = e.table.select(F.col("level").alias(f"_level{i}"), F.col("b").alias(f"_b{i}"))
-        out = lookup(out, named, {e.factor: f"_level{i}"}, e.small)
+        keys = {e.factor: f"_level{i}"}
+        out = lookup(out, named, keys, True) if e.small else spread_lookup(out, named, keys, counted=df)
     return out, [F.col(f"_b{i}") for i in range(len(model.effects))]
 
 
@@ -258,21 +261,21 @@ def predict(df: DataFrame, model: EffectModel, name: str = "pred") -> DataFrame:
     return joined.select(*[df[c] for c in df.columns], total.alias(name))
 
 
-def rmse_by_step(df: DataFrame, model: EffectModel, nulls: str = "propagate") -> list[float]:
-    """RMSE on other rows of the mean alone and with one more factor each: one scan."""
+def scores_by_step(
+    df: DataFrame, model: EffectModel, nulls: str = "propagate"
+) -> tuple[list[float], list[int]]:
+    """RMSE on other rows, and rows without a prediction, of the mean alone and with one more
+    factor each: one scan."""
     joined, effects = with_effects(df, model)
     partial = list(accumulate([F.lit(model.mu), *effects], add))
-    row = joined.agg(
-        *[rmse(F.col(model.y), p, nulls).alias(f"r{i}") for i, p in enumerate(partial)]
-    ).first()
-    return list(row)
+    errors = [rmse(F.col(model.y), p, nulls).alias(f"r{i}") for i, p in enumerate(partial)]
+    missing = [null_count(p).alias(f"n{i}") for i, p in enumerate(partial)]
+    row = list(joined.agg(*errors, *missing).first())
+    return row[: len(partial)], row[len(partial) :]
 
 
-def unscored_by_step(df: DataFrame, model: EffectModel) -> list[int]:
-    """Rows without a prediction, of the mean alone and with one more factor each: one scan."""
-    joined, effects = with_effects(df, model)
-    partial = list(accumulate([F.lit(model.mu), *effects], add))
-    return list(joined.agg(*[null_count(p).alias(f"n{i}") for i, p in enumerate(partial)]).first())
+def rmse_by_step(df: DataFrame, model: EffectModel, nulls: str = "propagate") -> list[float]:
+    return scores_by_step(df, model, nulls)[0]
 
 
 def comparison(
@@ -285,7 +288,7 @@ def comparison(
     """
     other, unscored = [None] * len(names), [None] * len(names)
     if holdout is not None:
-        other, unscored = rmse_by_step(holdout, model), unscored_by_step(holdout, model)
+        other, unscored = scores_by_step(holdout, model)
     return literal_rows(
         spark,
         list(zip(range(len(names)), names, model.rmses(), other, unscored)),

@@ -82,22 +82,45 @@ def stratified_split(
     bins: int = BINS,
 ) -> Split:
     """Fit the split. ``key`` must be unique; neither it nor ``y`` may be NULL."""
+    return stratified_splits(df, y, key, share, [seed], strata, finish_rows, bins)[0]
+
+
+def stratified_splits(
+    df: DataFrame,
+    y: str,
+    key: str,
+    share: float,
+    seeds: Sequence[int],
+    strata: int = 4,
+    finish_rows: int = FINISH_ROWS,
+    bins: int = BINS,
+) -> list[Split]:
+    """A split for each seed, as ``stratified_split`` fits it, from the same scans.
+
+    All draws of a row are counted together, so repeated splits cost the scans of one.
+    """
+    if len(set(seeds)) != len(seeds):
+        raise ValueError("a seed is given twice")
     probs = [i / strata for i in range(1, strata)]
     quantiles = exact_quantiles(df, y, probs, bins=bins, finish_rows=finish_rows).first()
     if quantiles is None:
         raise ValueError(f"no values of {y} to split on")
     cuts = tuple(sorted(set(quantiles["q"])))
-    rows = df.select(
-        stratum_of(F.col(y), cuts).alias("stratum"), draw_of(F.col(key), seed).alias("draw")
+    draws = F.array(*[
+        F.struct(F.lit(i).alias("at"), draw_of(F.col(key), seed).alias("draw"))
+        for i, seed in enumerate(seeds)
+    ])
+    rows = df.select(stratum_of(F.col(y), cuts).alias("stratum"), F.explode(draws).alias("d")).select(
+        "d.at", "stratum", "d.draw"
     )
 
     depth = 1
     while depth < DIGITS and quantiles["n"] > strata * ROWS_PER_COUNT * 16**depth:
         depth += 1
-    counts = rows.groupBy("stratum", F.substring("draw", 1, depth).alias("prefix")).agg(
+    counts = rows.groupBy("at", "stratum", F.substring("draw", 1, depth).alias("prefix")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    whole = Window.partitionBy("stratum")
+    whole = Window.partitionBy("at", "stratum")
     upto = whole.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("n").over(whole)
     reaches = (F.col("before") < F.col("need")) & (F.col("need") <= F.col("before") + F.col("n"))
@@ -107,43 +130,47 @@ def stratified_split(
         .withColumn("before", F.sum("n").over(upto) - F.col("n"))
         # the first count of a stratum too: it has the sizes, whether a row is needed or not
         .where(reaches | (F.col("before") == 0) | F.col("prefix").isNull())
-        .select("stratum", "prefix", "n", "total", "need", "before")
+        .select("at", "stratum", "prefix", "n", "total", "need", "before")
         .collect()
     )
     if any(r["prefix"] is None for r in found):
         raise ValueError(f"{key} has NULL values")
     if any(r["stratum"] is None for r in found):
         raise ValueError(f"{y} has NULL or NaN values")
-    sizes = {r["stratum"]: (r["need"], r["total"]) for r in sorted(found, key=lambda r: r["stratum"])}
-    cut = {r["stratum"]: r for r in found if r["before"] < r["need"] <= r["before"] + r["n"]}
+    sizes: list[dict] = [{} for _ in seeds]
+    for r in sorted(found, key=lambda r: r["stratum"]):
+        sizes[r["at"]][r["stratum"]] = (r["need"], r["total"])
+    cut = {(r["at"], r["stratum"]): r for r in found if r["before"] < r["need"] <= r["before"] + r["n"]}
     if not cut:
-        return Split(y, key, seed, cuts, {}, sizes)
+        return [Split(y, key, seed, cuts, {}, size) for seed, size in zip(seeds, sizes)]
+
+    def of(at: int, stratum: int) -> Column:
+        return (F.col("at") == at) & (F.col("stratum") == stratum)
 
     def at_cut() -> Column:
         return reduce(
             lambda a, b: a | b,
-            [(F.col("stratum") == s) & F.col("draw").startswith(r["prefix"])
-             for s, r in cut.items()],
+            [of(*s) & F.col("draw").startswith(r["prefix"]) for s, r in cut.items()],
         )
 
     def still_needed() -> Column:
         out = None
         for s, r in cut.items():
-            out = (F if out is None else out).when(F.col("stratum") == s, r["need"] - r["before"])
+            out = (F if out is None else out).when(of(*s), r["need"] - r["before"])
         return out
 
     while max(r["n"] for r in cut.values()) > finish_rows and depth < 32:
         depth += DIGITS
         finer = (
             rows.where(at_cut())
-            .groupBy("stratum", F.substring("draw", 1, depth).alias("prefix"))
+            .groupBy("at", "stratum", F.substring("draw", 1, depth).alias("prefix"))
             .agg(F.count(F.lit(1)).alias("n"))
             .withColumn("before", F.sum("n").over(upto) - F.col("n"))
             .withColumn("need", still_needed())
             .where((F.col("before") < F.col("need"))
                    & (F.col("need") <= F.col("before") + F.col("n")))
         )
-        cut = {r["stratum"]: r for r in finer.collect()}
+        cut = {(r["at"], r["stratum"]): r for r in finer.collect()}
 
     if max(r["n"] for r in cut.values()) > finish_rows:
         raise ValueError(f"{key} is not unique")
@@ -157,5 +184,7 @@ def stratified_split(
     )
     if any(r["draw"] == r["next"] for r in ends):
         raise ValueError(f"{key} is not unique")
-    last = {r["stratum"]: r["draw"] for r in sorted(ends, key=lambda r: r["stratum"])}
-    return Split(y, key, seed, cuts, last, sizes)
+    last: list[dict] = [{} for _ in seeds]
+    for r in sorted(ends, key=lambda r: r["stratum"]):
+        last[r["at"]][r["stratum"]] = r["draw"]
+    return [Split(y, key, *each) for each in zip(seeds, [cuts] * len(seeds), last, sizes)]

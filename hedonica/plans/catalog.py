@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,16 @@ from pyspark.sql import functions as F
 from hedonica import fixed_values as fixed
 from hedonica.functions.metrics import null_count, rmse
 from hedonica.functions.scalars import bucketize, day_of, dominant, number, weekday
-from hedonica.operators import boxplot, clean, diagnose, effects, histogram, profile
+from hedonica.operators import boxplot, chain, clean, diagnose, effects, histogram, profile, sketches
+from hedonica.operators.split import stratified_splits
 from hedonica.plans.workspace import KEY, PRED, Y, Workspace, rounded, workspace
-from hedonica.sources.sales_csv import read_exported, read_sales, write_csv
+from hedonica.session import literal_rows
+from hedonica.slices import save_slice, saved_slices
+from hedonica.sources.sales_csv import (
+    good_rows, intake, read_checked, read_exported, read_sales, rejected_rows, write_csv,
+)
 from hedonica.sources.surrogate import as_sales_file
+from hedonica.spread import spread_lookup
 
 Query = Callable[[Workspace], DataFrame]
 _queries: dict[str, Query] = {}
@@ -164,6 +171,75 @@ def preview(w: Workspace) -> DataFrame:
     return rounded(profile.preview(w.tidy, KEY, 20), logprice=6)
 
 
+@query
+def heavy_levels(w: Workspace) -> DataFrame:
+    """The levels that more than a fiftieth of the sales have, of columns with many levels."""
+    return sketches.heavy_levels(w.raw, ["land_area", "gross_area", "zip", "bldg_class_sale"], 0.02)
+
+
+def by_half_year(w: Workspace, rows: DataFrame) -> list[tuple[str, DataFrame]]:
+    """Two loads: the sales of the first six months of any year, and the rest."""
+    early = F.month(day_of(F.col("sale_ts"))) <= 6
+    return [("1", rows.where(early)), ("2", rows.where(~early))]
+
+
+@query
+def growing_codes(w: Workspace) -> DataFrame:
+    """Codes of two loads in a row: those of the first stay, new levels get the next ones."""
+    columns, path = ["land_area", "hood", "yr_built", "bldg_class_sale"], w.path("codes")
+    schema = "factor string, level string, code bigint"
+    known = literal_rows(w.spark, [], schema)
+    for name, rows in by_half_year(w, w.raw):
+        save_slice(profile.new_codes(rows, columns, known), path, name)
+        known = saved_slices(w.spark, path, schema).drop("slice")
+    return saved_slices(w.spark, path, schema)
+
+
+@query
+def level_sketches(w: Workspace) -> DataFrame:
+    """Numbers of levels from states of two loads, held against the exact ones."""
+    columns, path = ["land_area", "gross_area", "hood", "zip", "yr_built"], w.path("level-states")
+    for name, rows in by_half_year(w, w.raw):
+        save_slice(sketches.level_state(rows, columns), path, name)
+    state = sketches.merged_levels(saved_slices(w.spark, path, sketches.LEVEL_STATE))
+    found = sketches.levels_of(state).withColumnRenamed("n_levels", "estimate")
+    exact = profile.level_counts(w.raw, columns).select("factor", "n_levels")
+    gap = F.abs(F.col("estimate") - F.col("n_levels"))
+    within = gap <= 4 * sketches.level_error() * F.col("n_levels")
+    return found.join(exact, "factor").select("factor", "n_filled", "n_levels", within.alias("within"))
+
+
+def awkward_lines(w: Workspace) -> DataFrame:
+    """The sales file as lines, some of them damaged: cut off, too long, with an open quote."""
+    sales = as_sales_file(w.raw)
+    line = F.to_csv(F.struct(*sales.columns), {"escape": '"', "nullValue": "NA"})
+    kind = F.concat("borough", F.lit("/"), "tax_class_sale")
+    damaged = (
+        F.when(kind == "1/1", F.substring_index(line, ",", 20))
+        .when(kind == "2/2", F.concat(line, F.lit(",more")))
+        .when(kind == "3/3", F.concat(F.substring_index(line, ",", 21), F.lit(',"'), F.col("sale_ts")))
+        .when(kind == "4/4", F.concat(F.lit('"'), line))
+        .otherwise(line)
+    )
+    return sales.select(damaged.alias("value"))
+
+
+@query
+def csv_rejects(w: Workspace) -> DataFrame:
+    """What reading a damaged file by position keeps and rejects, by reason."""
+    path = w.path("damaged-file")
+    awkward_lines(w).write.text(path)
+    checked = read_checked(w.spark, path, fixed.RAW_COLUMNS, header=False)
+    lines = intake(checked).agg(*[F.sum(c).alias(c) for c in ("n_lines", "n_good", "n_rejected")])
+    reasons = rejected_rows(checked).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    kept = good_rows(checked).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("zip").cast("bigint")).alias("sum_zip"))
+    return (
+        reasons.withColumn("sum_zip", F.lit(None).cast("bigint"))
+        .union(kept.select(F.lit(None).cast("string"), "n", "sum_zip"))
+        .join(F.broadcast(lines))
+    )
+
+
 # --- plot data -----------------------------------------------------------------------------
 
 
@@ -197,6 +273,23 @@ def box_outliers(w: Workspace) -> DataFrame:
     return rounded(boxplot.box_outliers(w.boxes), logprice=6)
 
 
+@query
+def quantile_sketches(w: Workspace) -> DataFrame:
+    """Ends and size of each level from sketches of two halves, and whether the exact ranks of
+    their quartiles are within the bound."""
+    path, probs = w.path("quantile-states"), [0.25, 0.5, 0.75]
+    for name, rows in (("1", w.tidy.where("month <= 6")), ("2", w.tidy.where("month > 6"))):
+        save_slice(sketches.quantile_state(rows, Y, fixed.FACTORS), path, name)
+    state = sketches.merged_quantiles(saved_slices(w.spark, path, sketches.QUANTILE_STATE))
+    gaps = sketches.rank_gaps(w.tidy, Y, sketches.quantiles_of(state, probs), probs)
+    ends = state.select(F.col("factor").alias("_f"), F.col("level").alias("_l"), "low", "high")
+    on = (gaps["factor"] == ends["_f"]) & gaps["level"].eqNullSafe(ends["_l"])
+    # twice the error that holds in 99 of 100 cases, as there are hundreds of cases
+    within = F.array_max("gaps") <= 2 * sketches.rank_error()
+    found = gaps.join(ends, on).select("factor", "level", "n", "low", "high", within.alias("within"))
+    return rounded(found, low=6, high=6)
+
+
 @query
 def scatter_bins(w: Workspace) -> DataFrame:
     low, high = (math.log10(v) for v in fixed.SCATTER_LIMITS)
@@ -232,6 +325,21 @@ def split_complete(w: Workspace) -> DataFrame:
     return per_key.agg(*[F.sum(n).alias(n) for n in names], both.alias("n_wrong"))
 
 
+@query
+def repeated_splits(w: Workspace) -> DataFrame:
+    """Three splits fitted together: the rows of each part, the taken keys' first and last."""
+    made = stratified_splits(w.tidy, Y, KEY, fixed.TRAIN_SHARE, [1, 2, 3], fixed.STRATA)
+    found = F.array(*[
+        F.struct(F.lit(s.seed).alias("seed"), s.stratum().alias("stratum"), s.taken().alias("is_train"))
+        for s in made
+    ])
+    return (
+        w.tidy.select(KEY, F.explode(found).alias("s"))
+        .groupBy("s.seed", "s.stratum", "s.is_train")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(KEY).alias("first_key"), F.max(KEY).alias("last_key"))
+    )
+
+
 @query
 def train_keys(w: Workspace) -> DataFrame:
     return w.train().select(KEY)
@@ -269,6 +377,51 @@ def borough_effect_single(w: Workspace) -> DataFrame:
     return rounded(step.withColumn("level", F.col("level").cast("string")), b=6)
 
 
+def effects_of(model: effects.EffectModel, digits: int) -> DataFrame:
+    """``factor, level, n, b`` of all factors."""
+    tables = [
+        e.table.select(F.lit(e.factor).alias("factor"), F.col("level").cast("string").alias("level"), "n", "b")
+        for e in model.effects
+    ]
+    return rounded(reduce(DataFrame.union, tables), b=digits)
+
+
+# Any number near the mean; it must stay the same for all slices of a state.
+ORIGIN = 5.0
+
+
+@query
+def refit_state(w: Workspace) -> DataFrame:
+    """The effects from saved sums of eleven months and those of the twelfth, added later."""
+    path, train = w.path("moments"), w.train()
+    for name, rows in (("old", train.where("month < 12")), ("new", train.where("month = 12"))):
+        save_slice(chain.moment_state(rows, Y, fixed.FACTORS, ORIGIN), path, name)
+    state = saved_slices(w.spark, path, chain.STATE)
+    types = {f: w.tidy.schema[f].dataType for f in fixed.FACTORS}
+    return effects_of(chain.fit_state(state, Y, fixed.FACTORS, types, ORIGIN), 9)
+
+
+@query
+def fit_wide(w: Workspace) -> DataFrame:
+    """Effects of factors with thousands of levels; their pairs stay distributed."""
+    return effects_of(w.wide_model, 6)
+
+
+@query
+def score_wide(w: Workspace) -> DataFrame:
+    """Scores from lookup tables that aren't broadcast; frequent keys are dealt to salts."""
+    rows, model = w.wide(), w.wide_model
+    out, total = rows, F.lit(model.mu)
+    for i, e in enumerate(model.effects):
+        named = e.table.select(F.col("level").alias(f"_l{i}"), F.col("b").alias(f"_b{i}"))
+        out = spread_lookup(out, named, {e.factor: f"_l{i}"}, hot_rows=200, counted=rows)
+        total = total + F.col(f"_b{i}")
+    scores = out.groupBy("hood").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(total).alias("mean_pred"), rmse(F.col(Y), total, "propagate").alias("rmse")
+    )
+    return rounded(scores, mean_pred=6, rmse=6)
+
+
 @query
 def model_comparison(w: Workspace) -> DataFrame:
     table = effects.comparison(w.spark, w.model, fixed.MODEL_NAMES, w.holdout())

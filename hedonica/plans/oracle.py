@@ -242,6 +242,7 @@ FROM any_sale"""
 
 
 def _schema() -> str:
+    """A column at a time; the sample by four sorts of the distinct texts by parts of their MD5."""
     types = {"price": "double", "logprice": "double"}
     columns = [
         "borough", "price", "resunits", "comunits", "rescom", "landareacat", "grossareacat",
@@ -252,13 +253,73 @@ def _schema() -> str:
     for i, c in enumerate(columns, start=1):
         kind = types.get(c, "int" if c in whole else "string")
         n_levels = f"count(DISTINCT {c})" if c in fixed.FACTORS else "cast(NULL AS bigint)"
+        text = f"printf('%.6f', {c})" if kind == "double" else f"cast({c} AS varchar)"
+        picks = ", ".join(f"arg_min(v, (substr(md5(v), {1 + 8 * j}, 8), v))" for j in range(4))
+        sample = (
+            f"(SELECT array_to_string(list_sort(list_distinct([{picks}])), ', ')"
+            f" FROM (SELECT DISTINCT {text} AS v FROM tidy WHERE {c} IS NOT NULL))"
+        )
         parts.append(
             f"SELECT cast({i} AS int) AS position, '{c}' AS \"column\", '{kind}' AS type,"
-            f" count({c}) AS n_filled, {n_levels} AS n_levels FROM tidy"
+            f" count({c}) AS n_filled, {n_levels} AS n_levels, {sample} AS sample FROM tidy"
         )
     return f"WITH {TIDY} " + " UNION ALL ".join(parts)
 
 
+WIDE = ["land_area", "gross_area", "hood", "yr_built"]
+
+
+def _wide() -> str:
+    out = RAW + """,
+priced AS (
+  SELECT land_area, gross_area, hood, yr_built, try_cast(price AS double) AS price FROM sales_raw),
+w0 AS (
+  SELECT *, log10(price) AS y, log10(price) - avg(log10(price)) OVER () AS r0
+  FROM priced WHERE price >= 10000 AND price < 1000000000)"""
+    for k, factor in enumerate(WIDE, start=1):
+        out += (
+            f",\nw{k} AS (SELECT *, r{k - 1} - avg(r{k - 1}) OVER (PARTITION BY {factor}) AS r{k}"
+            f" FROM w{k - 1})"
+        )
+    return out
+
+
+def _all_effects(ctes: str, source: str, factors: list[str], digits: int) -> str:
+    return f"WITH {ctes} " + " UNION ALL ".join(
+        f"SELECT '{f}' AS factor, cast({f} AS varchar) AS level, count(*) AS n,"
+        f" {r(f'avg(r{k})', digits, 'b')} FROM {source} GROUP BY {f}"
+        for k, f in enumerate(factors)
+    )
+
+
+def _heavy(columns: list[str], share: str) -> str:
+    return f"WITH {RAW} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS factor, cast({c} AS varchar) AS level, count(*) AS n FROM sales_raw"
+        f" GROUP BY {c} HAVING count(*) > cast({share} AS double) * (SELECT count(*) FROM sales_raw)"
+        for c in columns
+    )
+
+
+def _growing(columns: list[str]) -> str:
+    loads = RAW + ", loads AS (SELECT *, CASE WHEN month(sale_ts) <= 6 THEN '1' ELSE '2' END AS load FROM sales_raw)"
+    return f"WITH {loads} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS factor, cast({c} AS varchar) AS level, min(load) AS slice,"
+        f" row_number() OVER (ORDER BY min(load), {c}) AS code FROM loads WHERE {c} IS NOT NULL GROUP BY {c}"
+        for c in columns
+    )
+
+
+def _splits(seeds: list[int]) -> str:
+    return f"WITH {TIDY}, " + SPLIT[len(TIDY) + 2 :].partition(",\ndrawn AS")[0] + " " + " UNION ALL ".join(
+        f"""SELECT cast({seed} AS int) AS seed, cast(stratum AS int) AS stratum, is_train, count(*) AS n,
+          min(row_key) AS first_key, max(row_key) AS last_key
+        FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('{seed}|' || row_key))
+                <= ceil(0.25 * count(*) OVER (PARTITION BY stratum)) AS is_train FROM strata)
+        GROUP BY stratum, is_train"""
+        for seed in seeds
+    )
+
+
 def _comparison() -> str:
     rows = []
     for k, name in enumerate(fixed.MODEL_NAMES):
@@ -392,6 +453,30 @@ def oracle_sql() -> dict[str, str]:
         "slope_test": f"WITH {LINE} SELECT n, {r('slope', 6)}, {r('f_slope_is_one', 6)} FROM t",
         "regression_tails": _tails(),
     }
+    out["refit_state"] = _all_effects(CHAIN, f"c{last}", fixed.FACTORS, 9)
+    out["fit_wide"] = _all_effects(_wide(), f"w{len(WIDE)}", WIDE, 6)
+    out["score_wide"] = f"""WITH {_wide()} SELECT hood, count(*) AS n,
+      {r('avg(y - r4)', 6, 'mean_pred')}, {r('sqrt(avg(r4 * r4))', 6, 'rmse')} FROM w4 GROUP BY hood"""
+    out["heavy_levels"] = _heavy(["land_area", "gross_area", "zip", "bldg_class_sale"], "0.02")
+    out["growing_codes"] = _growing(["land_area", "hood", "yr_built", "bldg_class_sale"])
+    out["level_sketches"] = f"WITH {RAW} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS factor, count({c}) AS n_filled, count(DISTINCT {c}) AS n_levels, true AS within FROM sales_raw"
+        for c in ["land_area", "gross_area", "hood", "zip", "yr_built"]
+    )
+    out["quantile_sketches"] = f"WITH {TIDY} " + " UNION ALL ".join(
+        f"SELECT '{f}' AS factor, cast({f} AS varchar) AS level, count(*) AS n,"
+        f" {r('min(logprice)', 6, 'low')}, {r('max(logprice)', 6, 'high')}, true AS within FROM tidy GROUP BY {f}"
+        for f in fixed.FACTORS
+    )
+    out["repeated_splits"] = _splits([1, 2, 3])
+    out["csv_rejects"] = f"""WITH {RAW}, judged AS (
+      SELECT zip, CASE borough || '/' || tax_class_sale WHEN '1/1' THEN 'number of fields'
+        WHEN '2/2' THEN 'number of fields' WHEN '3/3' THEN 'open quote' WHEN '4/4' THEN 'open quote' END AS reason
+      FROM sales_raw)
+      SELECT reason, count(*) AS n, cast(CASE WHEN reason IS NULL THEN sum(zip) END AS bigint) AS sum_zip,
+        (SELECT count(*) FROM judged) AS n_lines, (SELECT count(*) FROM judged WHERE reason IS NULL) AS n_good,
+        (SELECT count(reason) FROM judged) AS n_rejected
+      FROM judged GROUP BY reason"""
     out["csv_ingest"] = out["tidy"]
     out["export_roundtrip"] = f"""WITH {TIDY} SELECT {TIDY_COLUMNS},
       'say "' || bldg_class || '", ' || day || CASE WHEN borough = 1 THEN chr(10) || 'next' ELSE '' END AS note

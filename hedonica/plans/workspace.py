@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from hedonica import fixed_values as fixed
 from hedonica import session
 from hedonica.operators.boxplot import Boxes, boxes
-from hedonica.operators.clean import first_clean, tidy
+from hedonica.operators.chain import fit_joined
+from hedonica.operators.clean import first_clean, in_price_range, price_amount, tidy, with_log_price
 from hedonica.operators.diagnose import judgement, pairs
 from hedonica.operators.effects import EffectModel, fit_chain, predict
 from hedonica.operators.split import Split, stratified_split
@@ -23,6 +24,7 @@ from hedonica.session import written
 from hedonica.sources.surrogate import sales_raw
 
 KEY, Y, PRED = "row_key", "logprice", "pred_price"
+WIDE = ["land_area", "gross_area", "hood", "yr_built"]
 
 
 def stage(build):
@@ -84,6 +86,15 @@ class Workspace:
     def model(self) -> EffectModel:
         return fit_chain(self.train(), Y, fixed.FACTORS)
 
+    def wide(self) -> DataFrame:
+        """All sales with a price in range, with attributes of very many levels."""
+        priced = self.raw.select(*WIDE, price_amount().alias("price"))
+        return with_log_price(priced.where(in_price_range(F.col("price"))))
+
+    @stage
+    def wide_model(self) -> EffectModel:
+        return fit_joined(self.wide(), Y, WIDE)
+
     def scored(self) -> DataFrame:
         return predict(self.holdout(), self.model, PRED)
 

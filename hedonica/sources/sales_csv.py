@@ -67,3 +67,51 @@ def read_exported(
     ``multi_line`` is needed if a text holds line breaks; each file is then one task.
     """
     return spark.read.schema(schema).options(**QUOTING, multiLine=multi_line).csv(path)
+
+
+def read_checked(spark: SparkSession, path: str, names: list[str], header: bool = True) -> DataFrame:
+    """``file, line, reason`` and the named columns, for every line: no row is changed silently.
+
+    ``reason`` is NULL for good lines; others have a quote that isn't closed, or another number of
+    fields than ``names``, and NULL in all columns. One scan; fields can't hold line breaks.
+    With ``header``, lines equal to the first line of the files are no rows; nor are blank lines,
+    as in ``read_csv``.
+    """
+    bad = fresh_name("_bad", names)
+    options = {**QUOTING, "header": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    options = {k: str(v) for k, v in options.items()}
+    text = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+    lines = text.where(F.trim("line") != "")
+    if header and (first := spark.read.text(path).first()) is not None:
+        lines = lines.where(F.col("line") != first["value"])
+    ddl = ", ".join(f"`{n}` string" for n in [*names, bad])
+    parsed = lines.withColumn("row", F.from_csv("line", ddl, options))
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    reason = F.when(quotes % 2 == 1, "open quote").when(F.col("row")[bad].isNotNull(), "number of fields")
+    judged = parsed.withColumn("reason", reason)
+    values = [F.when(F.col("reason").isNull(), F.col("row")[n]).alias(n) for n in names]
+    return judged.select("file", "line", "reason", *values)
+
+
+def fresh_name(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+def good_rows(checked: DataFrame) -> DataFrame:
+    return checked.where(F.col("reason").isNull()).drop("file", "line", "reason")
+
+
+def rejected_rows(checked: DataFrame) -> DataFrame:
+    """``file, reason, line`` of what ``good_rows`` leaves out."""
+    return checked.where(F.col("reason").isNotNull()).select("file", "reason", "line")
+
+
+def intake(checked: DataFrame) -> DataFrame:
+    """``file, n_lines, n_good, n_rejected``: every line of a file is one or the other."""
+    return checked.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(F.col("reason").isNull()).alias("n_good"),
+        F.count_if(F.col("reason").isNotNull()).alias("n_rejected"),
+    )

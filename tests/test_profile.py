@@ -1,3 +1,6 @@
+import hashlib
+import math
+
 import numpy as np
 import pytest
 from hedonica.operators import boxplot, histogram, profile
@@ -34,10 +37,27 @@ def test_schema_profile(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     out = [tuple(r) for r in profile.schema_profile(df, ["t", "i"]).collect()]
     assert out == [
-        (1, "t", "string", 4, 3), (2, "i", "int", 5, 3), (3, "x", "double", 4, None),
+        (1, "t", "string", 4, 3, sample_of(["a", "b", "ab"])), (2, "i", "int", 5, 3, sample_of("123")),
+        (3, "x", "double", 4, None, sample_of(["10.000000", "20.000000", "30.000000", "5.000000"])),
     ]
 
 
+def sample_of(texts):
+    digest = {t: hashlib.md5(t.encode()).hexdigest() for t in texts}
+    return ", ".join(sorted({min((digest[t][8 * i : 8 * i + 8], t) for t in texts)[1] for i in range(4)}))
+
+
+def test_sample_values_are_bounded_and_the_same_for_any_partitioning(spark):
+    df = spark.range(5000).selectExpr("if(id % 3 = 0, 'hot', concat('v', id % 900)) AS t", "cast(NULL AS int) AS none")
+    seen = set()
+    for parts in (1, 7):
+        rows = profile.schema_profile(df.repartition(parts, F.rand(parts)), ["t"]).collect()
+        values = rows[0]["sample"].split(", ")
+        assert 1 < len(values) <= profile.SAMPLES and rows[1]["sample"] == "" and rows[1]["n_filled"] == 0
+        seen.add(rows[0]["sample"])
+    assert seen == {sample_of({r["t"] for r in df.collect()})}
+
+
 def test_preview_is_a_top_k(spark):
     df = spark.range(100).repartition(4)
     out = profile.preview(df, "id", 3)
@@ -127,3 +147,31 @@ def test_levels_with_one_lead_are_coded_over_many_tasks(spark):
         assert parts.count() == 1
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_floating_levels_are_coded_by_value(spark):
+    values = [1e300, -1e300, 1e-12, 2e-12, 0.0, 5.0, 10.0, math.inf, -math.inf, math.nan, None, 3.5]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = {r["level"]: r["code"] for r in profile.level_codes(df, ["x"]).collect()}
+    wanted = ["-Infinity", "-1.0E300", "0.0", "1.0E-12", "2.0E-12", "3.5", "5.0", "10.0", "1.0E300", "Infinity", "NaN"]
+    assert got == {v: i for i, v in enumerate(wanted, start=1)}
+    close = spark.createDataFrame([(2**60 + 1,), (2**60,), (2**60 + 2,)], "x bigint")
+    got = {int(r["level"]) - 2**60: r["code"] for r in profile.level_codes(close, ["x"]).collect()}
+    assert got == {0: 1, 1: 2, 2: 3}
+
+
+def test_codes_of_earlier_loads_never_move(spark):
+    loads = [[("m", 9), ("b", 10), (None, 2)], [("a", 10), ("z", 1), ("b", 9)], [("m", 9)], [("c", 30)]]
+    known = spark.createDataFrame([], "factor string, level string, code bigint")
+    for rows in loads:
+        df = spark.createDataFrame(rows, "t string, n int")
+        known = profile.written(known.union(profile.new_codes(df, ["t", "n"], known)), "codes")
+    got = {(r["factor"], r["level"]): r["code"] for r in known.collect()}
+    assert got == {
+        ("t", "b"): 1, ("t", "m"): 2, ("t", "a"): 3, ("t", "z"): 4, ("t", "c"): 5,
+        ("n", "2"): 1, ("n", "9"): 2, ("n", "10"): 3, ("n", "1"): 4, ("n", "30"): 5,
+    }
+    first = spark.createDataFrame(loads[0], "t string, n int")
+    plain = {tuple(r) for r in profile.level_codes(first, ["t", "n"]).collect()}
+    empty = spark.createDataFrame([], "factor string, level string, code bigint")
+    assert {tuple(r) for r in profile.new_codes(first, ["t", "n"], empty).collect()} == plain

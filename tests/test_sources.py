@@ -6,7 +6,8 @@ from hedonica.operators.clean import tidy
 from hedonica.plans.workspace import TABLES, Workspace, workspace
 from hedonica.session import fresh_path, shared_dir, written
 from hedonica.sources.sales_csv import (
-    read_csv, read_exported, read_sales, rename_by_position, write_csv,
+    good_rows, intake, read_checked, read_csv, read_exported, read_sales, rejected_rows,
+    rename_by_position, write_csv,
 )
 
 HEADER = [f"COLUMN {i}" for i in range(22)]
@@ -132,3 +133,26 @@ def test_a_cluster_must_name_a_shared_dir():
     Context.master = "yarn"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Unnamed())
+
+
+def test_damaged_lines_are_rejected_with_file_and_reason(spark, tmp_path):
+    good = ['1,"a ""b"", c",NA', '2,plain,"x"', '3,,']
+    bad = {'4,short': "number of fields", '5,a,b,long': "number of fields", '6,"open,b': "open quote", '7,a,"open': "open quote"}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("\n".join(["id,t,u", *good, "", *list(bad)[:2]]) + "\n")
+    (tmp_path / "in" / "b.csv").write_text("\n".join(["id,t,u", *list(bad)[2:], good[0]]) + "\n")
+    checked = read_checked(spark, str(tmp_path / "in"), ["id", "t", "reason_"])
+    rows = sorted(tuple(r) for r in good_rows(checked).select("id", "t").collect())
+    assert rows == [("1", 'a "b", c'), ("1", 'a "b", c'), ("2", "plain"), ("3", None)]
+    found = {r["line"]: (r["file"], r["reason"]) for r in rejected_rows(checked).collect()}
+    assert found == {line: ("a.csv" if i < 2 else "b.csv", reason) for i, (line, reason) in enumerate(bad.items())}
+    assert {tuple(r) for r in intake(checked).collect()} == {("a.csv", 5, 3, 2), ("b.csv", 3, 1, 2)}
+    # good rows read as they do without the check
+    plain = read_csv(spark, str(tmp_path / "in"), ["id", "t", "u"]).where("id in ('1', '2', '3')")
+    assert sorted(map(str, plain.select("id", "t").collect())) == sorted(map(str, good_rows(checked).select("id", "t").collect()))
+
+
+def test_checked_reading_of_no_lines(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    checked = read_checked(spark, str(tmp_path / "empty.csv"), ["id"])
+    assert checked.count() == 0 and intake(checked).count() == 0

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from hedonica.operators.split import stratified_split
+from hedonica.operators.split import stratified_split, stratified_splits
 from pyspark.sql import functions as F
 
 N = 4001
@@ -97,3 +97,15 @@ def test_a_share_of_nothing_takes_nothing(spark):
     for gap in [("x", None), (None, 4.0)]:
         with pytest.raises(ValueError, match="NULL"):
             stratified_split(df.union(spark.createDataFrame([gap], df.schema)), "y", "key", 0.0, 7)
+
+
+def test_repeated_splits_equal_their_single_forms(spark):
+    df = spark.createDataFrame(outcome(spark), "key string, y double")
+    for share in (0.25, 0.0):
+        together = stratified_splits(df, "y", "key", share, [1, 7, 3], finish_rows=40)
+        assert together == [stratified_split(df, "y", "key", share, s, finish_rows=40) for s in (1, 7, 3)]
+    with pytest.raises(ValueError, match="twice"):
+        stratified_splits(df, "y", "key", 0.25, [1, 1])
+    with pytest.raises(ValueError, match="not unique"):
+        same = spark.createDataFrame([("a", float(i % 5)) for i in range(50)], "key string, y double")
+        stratified_splits(same, "y", "key", 0.25, [1, 2])
