@@ -263,7 +263,10 @@ def visits(index: Index, queries: DataFrame, first: int | None, z: float | None)
                 )
 
     schema = "query bigint, query_id bigint, vector array<double>, least double, block bigint, cells array<int>"
-    return queries.select("query", "query_id", "vector", "least").mapInArrow(walked, schema)
+    # few small rows, each a long walk: a number that adaptive execution doesn't lower
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.select("query", "query_id", "vector", "least").repartition(tasks, "query")
+    return asked.mapInArrow(walked, schema)
 
 
 # --- reranking --------------------------------------------------------------------------
