@@ -102,7 +102,7 @@ def pack_documents(
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = word_ids(vocabulary).of, np.array([end_id], dtype=ID).tobytes()
+        encoder, end = word_ids(vocabulary), np.array([end_id], dtype=ID).tobytes()
         sequence = TaskContext.get().partitionId() << 40
         full = BATCH_WINDOWS * max(1, capacity - SLACK)
         rests, waiting = [], 0  # (doc_id, start, ids, ids of the document)
@@ -128,8 +128,9 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in rows], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(ids_of(text.as_py()) + end, dtype=ID)
+            coded = encoder.of_texts(text.as_py() for text in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coded):
+                ids = np.frombuffer(ids + end, dtype=ID)
                 whole = len(ids) // capacity * capacity
                 for at in range(0, whole, capacity):
                     emit(doc_id, at, ids[at : at + capacity], len(ids), 0)

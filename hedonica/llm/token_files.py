@@ -40,7 +40,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, vocabulary: str = WORD
     ])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = word_ids(vocabulary).of, np.array([end_id], dtype=ID).tobytes()
+        encoder, end = word_ids(vocabulary), np.array([end_id], dtype=ID).tobytes()
         file, record, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, coded, waiting = [], [], 0
 
@@ -57,8 +57,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, vocabulary: str = WORD
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids_of(text.as_py()) + end
+            found = encoder.of_texts(text.as_py() for text in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), found):
+                ids += end
                 doc_ids.append(doc_id)
                 coded.append(ids)
                 waiting += len(ids) // ID.itemsize
