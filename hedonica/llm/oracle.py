@@ -62,14 +62,14 @@ WITH docs AS (
   FROM m
 ), binned AS (
   SELECT level, CASE WHEN level < 2 THEN lang END AS lang, CASE WHEN level < 1 THEN source END AS source,
-    sign, v >> greatest(length(bin(v)) - 5, 0) << greatest(length(bin(v)) - 5, 0) AS b
+    sign, v >> greatest(length(bin(v)) - 8, 0) << greatest(length(bin(v)) - 8, 0) AS b
   FROM signs, unnest([0, 1, 2]) AS l(level) WHERE n_words >= 10
 ), quartiles AS (
   SELECT level, lang, source, sign, count(*) AS docs,
     quantile_disc(b, 0.5) AS q2, quantile_disc(b, 0.75) AS q3
   FROM binned GROUP BY ALL
 ), fences AS (
-  SELECT *, q3 + 10 * greatest(q3 - q2, [20000, 20000, 60000, 500000][sign + 1]) AS fence FROM quartiles
+  SELECT *, q3 + [10, 20, 10, 15][sign + 1] * greatest(q3 - q2, [20000, 600, 60000, 20000][sign + 1]) AS fence FROM quartiles
 ), beyond AS (
   SELECT rid, bool_or(v > CASE WHEN a.docs >= 200 THEN a.fence WHEN b.docs >= 200 THEN b.fence ELSE c.fence END) AS out
   FROM signs s

@@ -2,16 +2,18 @@
 
 Four signs are measured on each text as whole numbers (millionths): symbols a word, upper-case
 letters a character, repeated lines a line, characters a word. Their quantiles are kept in a
-mergeable sketch: values fall into log-linear bins (five leading bits, a relative error below
-1/32), and the sketch of a (language, source) is its bin counts, combined before the shuffle.
+mergeable sketch: values fall into log-linear bins (eight leading bits, a relative error below
+1/256), and the sketch of a (language, source) is its bin counts, combined before the shuffle.
 Sketches merge by adding: sources merge to languages, languages to the corpus, and a pair with
 fewer than ``MIN_DOCS`` documents takes the limits of the first larger group that has enough.
 
-A document is rejected if a sign lies beyond its group's limit: the upper quartile and
-``REACH`` times the distance from the median to it (at least the sign's ``least spread``, so
-that a sign which is constant in a group doesn't reject the first small deviation). Documents
-are then joined with the limits of their group. Two scans of the documents, no shuffle of
-texts, no Python.
+A document is rejected if a sign lies beyond its group's limit: the upper quartile and a multiple
+of the distance from the median to it, both from the group's sketch. Upper-case share and word
+length vary in every group, and their limits follow that spread; their least spread is of the
+size of rounding. Symbols and repeated lines are zero in three quarters of most groups, so no
+quantile there tells an odd document from the first with a single symbol: their least spread
+is a share that a reader would notice. Documents are then joined with the limits of their group.
+Two scans of the documents, no shuffle of texts, no Python.
 
 NULL and empty texts have no words and fail the base rule. A NULL language or source is a
 value like others. Repeated rows count as often as they come; an empty table gives no rows.
@@ -29,12 +31,12 @@ MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 WINDOW = 5
 MIN_DOCS = 200
-REACH = 10
+BITS = 8
 UNIT = 1_000_000
 BLANKS = "[ \\t-\\r]"
 SYMBOLS = "[#*$%&|<>]+"
-# Signs and their least spread, in millionths.
-SIGNS = {"symbols": 20_000, "upper": 20_000, "repeated": 60_000, "length": 500_000}
+# Signs, the multiple of the spread that is allowed, and the least spread, in millionths.
+SIGNS = {"symbols": (10, 20_000), "upper": (20, 600), "repeated": (10, 60_000), "length": (15, 20_000)}
 
 
 def let(value: Column, body) -> Column:
@@ -133,8 +135,8 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def bin_of(value: Column) -> Column:
-    """Lower end of the value's bin: its five leading bits."""
-    low = F.greatest(F.length(F.bin(value)) - 5, F.lit(0))
+    """Lower end of the value's bin: its leading bits."""
+    low = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
 
 
@@ -167,8 +169,8 @@ def limits(docs: DataFrame, lang: str = "lang", source: str = "source") -> DataF
         F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bin"))).alias("q3"),
         F.first("total").alias("total"),
     )
-    spread = F.array(*[F.lit(s) for s in SIGNS.values()])[F.col("sign")]
-    fence = F.col("q3") + REACH * F.greatest(F.col("q3") - F.col("q2"), spread)
+    reach, least = (F.array(*map(F.lit, column))[F.col("sign")] for column in zip(*SIGNS.values()))
+    fence = F.col("q3") + reach * F.greatest(F.col("q3") - F.col("q2"), least)
     wide = quartiles.withColumn("fence", fence).groupBy("level", "lang", "source").agg(
         F.max("total").alias("docs"),
         *[F.max(F.when(F.col("sign") == i, F.col("fence"))).alias(s) for i, s in enumerate(SIGNS)],

@@ -58,6 +58,23 @@ def test_limits_follow_language_and_source(spark, documents):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 2
 
 
+def worded(i, wide):
+    """Texts of about 7 letters a word, more or less widely spread."""
+    sizes = [7 + (i % 5 - 2) * wide] * 5 + [7] * 7
+    return " ".join(f"{'abcdefghijkl'[j]}{'x' * (size - 1)}" for j, size in enumerate(sizes))
+
+
+def test_groups_of_unlike_spread_get_unlike_limits(spark, documents):
+    rows = [(i, worded(i, 1), "en", "even") for i in range(300)]
+    rows += [(1000 + i, worded(i, 3), "en", "mixed") for i in range(300)]
+    longer = " ".join(f"{c}{'x' * 15}" for c in "abcdefghijkl")
+    rows += [(5001, longer, "en", "even"), (5002, longer, "en", "mixed")]
+    found = {r["source"]: r for r in Q.limits(documents(rows)).collect()}
+    assert found["even"]["length"] < 16 * Q.UNIT < found["mixed"]["length"]
+    got = measured(spark, rows, documents)
+    assert {i for i, r in got.items() if not r.kept} == {5001}
+
+
 def test_empty_table(spark, documents):
     assert Q.good_documents(documents(["x"]).limit(0)).collect() == []
 
@@ -65,7 +82,7 @@ def test_empty_table(spark, documents):
 def test_bins(spark):
     values = [0, 1, 31, 32, 33, 1000, 123456789]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v bigint").select(Q.bin_of(F.col("v"))).collect()]
-    assert got == [v >> max(v.bit_length() - 5, 0) << max(v.bit_length() - 5, 0) for v in values]
+    assert got == [v >> max(v.bit_length() - Q.BITS, 0) << max(v.bit_length() - Q.BITS, 0) for v in values]
 
 
 def test_plan_is_native(spark, documents):
