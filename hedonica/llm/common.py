@@ -55,16 +55,9 @@ class Remembered(dict):
         value = self.old.get(text)
         if value is None:
             value = self.find(text)
-        self.keep(text, value)
-        return value
-
-    def keep(self, text: str, value) -> None:
         if len(text) <= CACHED_CHARS:
             if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()
             self[text] = value
-
-    def unknown(self, texts) -> set[str]:
-        old = self.old
-        return {t for t in set(texts) if t not in self and t not in old}
+        return value

@@ -40,21 +40,32 @@ PIECES = (
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     """Sizes dealt to windows of near-equal sums; every window lists its sizes' indexes."""
-    heap = []
+    heap = []  # spread, tie-breaker, ascending sums, and the merge that led to them
     for i, size in enumerate(sizes):
         sums = np.zeros(windows, dtype=np.int64)
         sums[-1] = size
-        heap.append((-size, i, sums, [[] for _ in range(windows - 1)] + [[i]]))
+        heap.append((-size, i, sums, i))
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, order, sums, held = heapq.heappop(heap)
-        _, _, other, more = heapq.heappop(heap)
+        _, order, sums, one = heapq.heappop(heap)
+        _, _, other, two = heap[0]
         sums = sums + other[::-1]  # opposing imbalances: ascending against descending
-        by = np.argsort(sums, kind="stable")
-        sums = sums[by] - sums[by[0]]
-        more = more[::-1]
-        heapq.heappush(heap, (-int(sums[-1]), order, sums, [held[j] + more[j] for j in by.tolist()]))
-    return heap[0][3] if heap else []
+        by = sums.argsort(kind="stable")
+        sums = sums[by]
+        sums -= sums[0]
+        heapq.heapreplace(heap, (-int(sums[-1]), order, sums, (one, two, by)))
+    held: list[list[int]] = [[] for _ in range(windows)]
+    todo = [(heap[0][3], np.arange(windows))] if heap else []
+    while todo:  # from the last merge back: which window each partial one became
+        made, at = todo.pop()
+        if isinstance(made, int):
+            held[at[-1]].append(made)
+        else:
+            one, two, by = made
+            before = np.empty_like(at)
+            before[by] = at
+            todo += [(one, before), (two, before[::-1])]
+    return held if heap else []
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:

@@ -5,8 +5,8 @@ tokenizer treats the parts between spaces apart from each other (normalisation d
 across a space), so a worker remembers the ids of each part. Parts of Latin letters are cut
 further, as the vocabulary's own pattern cuts them, so that ``Word`` and ``word,`` are merged
 once, by the library's merges alone: nothing else of its pipeline changes such a piece but the
-alphabet of bytes. All other parts go through the whole library. Texts are taken about ``CHARS``
-characters at a time, and the new parts of all of them are looked for together.
+alphabet of bytes. All other parts go through the whole library. A part is looked up once: a
+known one by the dict itself, a new one by the call that the dict makes for it.
 """
 
 from __future__ import annotations
@@ -19,14 +19,13 @@ from functools import lru_cache
 
 import numpy as np
 
-from hedonica.llm.common import CACHED_CHARS, tokenizer
+from hedonica.llm.common import Remembered, tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
 ID = np.dtype("<u4")
 assert sys.byteorder == "little" and array("I").itemsize == ID.itemsize
 # What a worker remembers, twice as many at most: about 50 and 120 MB a generation.
 PARTS, PRE_TOKENS = 300_000, 700_000
-CHARS = 1 << 16
 # The vocabulary's pattern over lower-case Latin-1; letters, numbers and blanks as it has them.
 _LETTERS, _NUMBERS, _BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _PRE_TOKENS = re.compile(
@@ -38,48 +37,17 @@ _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
-class Known:
-    """Ids of the texts asked for last: ``size`` of them to twice as many.
-
-    ``now`` is a plain dict, which sets and ``map`` look into without any Python code. What is
-    needed is brought there first; between texts a full one becomes the old one.
-    """
-
-    def __init__(self, size: int):
-        self.size, self.now, self.old = size, {}, {}
-        self.long: list[str] = []
-
-    def unknown(self, texts: set[str]) -> list[str]:
-        """Those without ids; all others are in ``now`` from here on."""
-        out, old, now = [], self.old, self.now
-        for text in texts.difference(now):
-            value = old.get(text)
-            if value is None:
-                out.append(text)
-            else:
-                now[text] = value
-        return out
-
-    def add(self, found: dict[str, bytes]) -> None:
-        self.now.update(found)
-        self.long += [t for t in found if len(t) > CACHED_CHARS]
-
-    def trim(self) -> None:
-        """Forget long texts, so that an entry has a bounded size, and old ones."""
-        for text in self.long:
-            del self.now[text]
-        self.long = []
-        if len(self.now) > self.size:
-            self.old, self.now = self.now, {}
-
-
 class WordIds:
     """Texts -> their ids, as little-endian bytes; bounded in memory."""
 
     def __init__(self, name: str):
         tok = tokenizer(name)
         self.encode, self.merges = tok.encode, tok.model.tokenize
-        self.pre_tokens, self.parts = Known(PRE_TOKENS), Known(PARTS)
+        self.pre_tokens = Remembered(self.pre_token, PRE_TOKENS)
+        self.parts = Remembered(self.part, PARTS)
+        # Bound methods of dict: what is known is looked up without any Python code.
+        self.ids_of_pre_token = self.pre_tokens.__getitem__
+        self.ids_of_part = self.parts.__getitem__
 
     def library(self, text: str) -> bytes:
         return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
@@ -89,60 +57,28 @@ class WordIds:
             text = text.encode().decode("latin-1").translate(_BYTES)
         return array("I", [t.id for t in self.merges(text)]).tobytes()
 
-    def cut(self, text: str) -> list[str] | str | None:
-        """The pre-tokens of a part in Latin letters, or the only one; special strings are the
-        library's."""
+    def part(self, text: str) -> bytes:
+        """A part in Latin letters by its pre-tokens; special strings are the library's."""
         if text.isascii():
             if text.isalpha():
-                return text.lower()
+                return self.ids_of_pre_token(text.lower())
         else:
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                return None
-        return None if "<|" in text else _PRE_TOKENS(text.lower())
-
-    def learn(self, parts: set[str]) -> None:
-        """Bring the ids of all parts to ``self.parts.now``."""
-        whole, several, found = {}, {}, {}
-        for text in self.parts.unknown(parts):
-            cut = self.cut(text)
-            if cut is None:
-                found[text] = self.library(text)
-            elif type(cut) is str:
-                whole[text] = cut
-            else:
-                several[text] = cut
-        known = self.pre_tokens
-        new = known.unknown(set().union(whole.values(), *several.values()))
-        known.add(dict(zip(new, map(self.pre_token, new))))
-        ids = known.now.__getitem__
-        found.update(zip(whole, map(ids, whole.values())))
-        for text, cut in several.items():
-            found[text] = b"".join(map(ids, cut))
-        self.parts.add(found)
-        known.trim()
-
-    def of_texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each whole text, in order; none for NULL."""
-        waiting, chars = [], 0
-        for text in texts:
-            waiting.append(text.replace("\n", " ").split(" ") if text else ())
-            chars += len(text or "")
-            if chars >= CHARS:
-                yield from self._joined(waiting)
-                waiting, chars = [], 0
-        yield from self._joined(waiting)
-
-    def _joined(self, split: list) -> list[bytes]:
-        self.learn(set().union(*split))
-        ids = self.parts.now.__getitem__
-        out = [b"".join(map(ids, parts)) for parts in split]
-        self.parts.trim()
-        return out
+                return self.library(text)
+        if "<|" in text:
+            return self.library(text)
+        return b"".join(map(self.ids_of_pre_token, _PRE_TOKENS(text.lower())))
 
     def of(self, text: str | None) -> bytes:
-        return next(self.of_texts([text]))
+        """The ids of a whole text; none for NULL."""
+        if not text:
+            return b""
+        return b"".join(map(self.ids_of_part, text.replace("\n", " ").split(" ")))
+
+    def of_texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        return map(self.of, texts)
 
 
 @lru_cache(maxsize=2)
