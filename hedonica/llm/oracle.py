@@ -97,26 +97,45 @@ WITH p AS (
       x <> '' AND NOT regexp_matches(x, '^(?i)(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))), '&') AS q
   FROM p
 ), c AS (
-  SELECT page_id, html, md5(html) AS tag,
+  SELECT page_id, html, page_id % 4 = 1 AS dated, page_id % 16 = 2 AS bare,
     nullif(place || CASE WHEN q <> '' THEN '?' || q ELSE '' END, '') AS canonical_url
   FROM k
+), visits AS (
+  SELECT *, -1 AS visit, 'revisit' AS type, 'revisit' AS kind, 1 AS version FROM c WHERE page_id % 8 = 3
+  UNION ALL SELECT *, 0, 'response', 'full', 1 FROM c
+  UNION ALL SELECT *, 1, 'revisit', 'revisit', 1 FROM c
+  UNION ALL SELECT *, 2, 'response', 'full', 2 FROM c WHERE page_id % 4 = 0
+  UNION ALL SELECT *, 2, 'response', 'other', 1 FROM c WHERE page_id % 16 = 5
+  UNION ALL SELECT *, 3, 'revisit', 'revisit', CASE WHEN page_id % 8 = 0 THEN 2 ELSE 1 END FROM c WHERE page_id % 4 = 0
+), bodies AS (
+  SELECT *, html || CASE WHEN version = 2 THEN '<!-- 2 -->' ELSE '' END AS body,
+    'urn:' || type || ':' || page_id || ':' || visit AS record_id, page_id + 5000 * visit AS minute
+  FROM visits
+), e AS (
+  SELECT record_id, canonical_url, minute, kind, strlen(body) AS size,
+    CASE WHEN NOT dated AND NOT bare THEN '"' || md5(body) || '"' END AS tag,
+    CASE WHEN dated THEN strftime(DATE '2023-11-14' + (page_id % 1000 + version)::INT, '%a, %d %b %Y') || ' 00:00:00 GMT' END AS modified
+  FROM bodies
 ), found AS (
-  SELECT r.page_id, r.tag, r.canonical_url, (
-    SELECT max(f.page_id) FROM c f
-    WHERE f.canonical_url = r.canonical_url AND f.page_id < r.page_id + 5000) AS ref
-  FROM c r
+  SELECT r.record_id, f.record_id AS ref, f.size AS ref_size,
+    coalesce(r.tag = f.tag, r.modified = f.modified) AS agree
+  FROM e r JOIN e f ON f.canonical_url = r.canonical_url AND f.minute < r.minute
+  WHERE r.kind = 'revisit' AND f.kind = 'full'
+  QUALIFY row_number() OVER (PARTITION BY r.record_id ORDER BY f.minute DESC, f.record_id DESC) = 1
 )
-SELECT 'urn:response:' || page_id AS record_id, canonical_url, 'full' AS outcome, NULL::VARCHAR AS refers_to,
-  'content-type: text/html; etag: "' || tag || '"; cache-control: max-age=60; content-length: ' || strlen(html) AS headers
-FROM c
-UNION ALL
-SELECT 'urn:revisit:' || f.page_id, f.canonical_url,
-  CASE WHEN ref IS NULL THEN 'no_earlier' WHEN t.tag = f.tag THEN 'resolved' ELSE 'changed' END,
-  'urn:response:' || ref,
-  CASE WHEN t.tag = f.tag
-    THEN 'content-type: text/html; content-length: ' || strlen(t.html) || '; etag: W/"' || f.tag || '"; cache-control: max-age=120'
-    ELSE 'etag: W/"' || f.tag || '"; cache-control: max-age=120; content-length: 0' END
-FROM found f LEFT JOIN c t ON t.page_id = f.ref
+SELECT e.record_id, canonical_url,
+  CASE WHEN kind <> 'revisit' THEN kind WHEN ref IS NULL THEN 'no_earlier' WHEN agree THEN 'resolved'
+    WHEN NOT agree THEN 'changed' ELSE 'unverified' END AS outcome,
+  ref AS refers_to,
+  concat_ws('; ',
+    CASE WHEN kind = 'full' OR agree THEN 'content-type: text/html' END,
+    CASE WHEN agree THEN 'content-length: ' || ref_size END,
+    CASE WHEN kind <> 'other' THEN 'etag: ' || CASE WHEN kind = 'revisit' THEN 'W/' ELSE '' END || tag END,
+    CASE WHEN kind <> 'other' THEN 'last-modified: ' || modified END,
+    CASE kind WHEN 'full' THEN 'cache-control: max-age=60' WHEN 'revisit' THEN 'cache-control: max-age=120' ELSE 'retry-after: 60' END,
+    CASE WHEN kind = 'full' THEN 'content-length: ' || size WHEN kind = 'revisit' AND agree IS NOT TRUE THEN 'content-length: 0' END
+  ) AS headers
+FROM e LEFT JOIN found USING (record_id)
 """
 
 # CRC-32 by bytes: the table's entry for a byte is that byte after eight shifts.

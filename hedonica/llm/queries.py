@@ -57,8 +57,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of a crawl of all pages: what each revisit stands for, and its headers."""
-    records = warc.parsed(warc.crawl(table(spark, sf_dir, "pages"), again_after=5_000))
+    """Records of a crawl of all pages and their versions: what each revisit stands for, and its headers."""
+    records = warc.parsed(warc.crawl_of_versions(table(spark, sf_dir, "pages"), between=5_000))
     lines = F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"]))
     return warc.resolved(records).select(
         "record_id", "canonical_url", "outcome", "refers_to", F.array_join(lines, "; ").alias("headers")

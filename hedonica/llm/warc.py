@@ -172,39 +172,92 @@ def with_body(resolved_records: DataFrame, records: DataFrame) -> DataFrame:
 # --- records of a crawl --------------------------------------------------------------------
 
 
+def _text(first: str, headers: dict[str, Column | str]) -> Column:
+    """A block of headers; those of NULL value are left out."""
+    lines = [F.lit(first)]
+    lines += [F.concat(F.lit(f"{k}: "), v if isinstance(v, Column) else F.lit(v)) for k, v in headers.items()]
+    return F.concat_ws("\r\n", *lines)
+
+
+def _record(kind: str, name: Column, minute: Column, http: Column, body: Column) -> Column:
+    when = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + 60 * minute), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    head = _text("WARC/1.1", {
+        "WARC-Type": kind, "WARC-Record-ID": F.concat(F.lit(f"urn:{kind}:"), name),
+        "WARC-Target-URI": F.coalesce("url", F.lit("")), "WARC-Date": when,
+        "Content-Type": "application/http;msgtype=response",
+    })
+    return F.concat_ws("\r\n\r\n", head, http, body)
+
+
+def _ok(body: Column, etag: Column, modified: Column | None = None) -> Column:
+    dated = {} if modified is None else {"Last-Modified": modified}
+    return _text("HTTP/1.1 200 OK", {
+        "Content-Type": "text/html", "ETag": etag, **dated, "Cache-Control": "max-age=60",
+        "Content-Length": F.octet_length(body).cast("string"),
+    })
+
+
+def _same(etag: Column, modified: Column | None = None) -> Column:
+    dated = {} if modified is None else {"Last-Modified": modified}
+    return _text("HTTP/1.1 304 Not Modified", {
+        "ETag": F.concat(F.lit("W/"), etag), **dated, "Cache-Control": "max-age=120", "Content-Length": "0",
+    })
+
+
+def _quoted(body: Column) -> Column:
+    return F.concat(F.lit('"'), F.md5(body), F.lit('"'))
+
+
 def crawl(pages: DataFrame, again_after: int) -> DataFrame:
     """WARC records, as text, of a crawl of ``page_id, url, html``.
 
     Page n is fetched at minute n, and asked for again ``again_after`` minutes later, when
     the server answers that it is as before.
     """
-
-    def text(first: str, headers: dict[str, Column | str]) -> Column:
-        lines = [F.lit(first)]
-        lines += [F.concat(F.lit(f"{k}: "), v if isinstance(v, Column) else F.lit(v)) for k, v in headers.items()]
-        return F.concat_ws("\r\n", *lines)
-
-    html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
-
-    def record(kind: str, minute: Column, http: Column, body: Column) -> Column:
-        when = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + 60 * minute), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-        name = F.concat(F.lit("urn:"), F.lit(kind), F.lit(":"), F.col("page_id").cast("string"))
-        head = text("WARC/1.1", {
-            "WARC-Type": kind, "WARC-Record-ID": name, "WARC-Target-URI": url, "WARC-Date": when,
-            "Content-Type": "application/http;msgtype=response",
-        })
-        return F.concat_ws("\r\n\r\n", head, http, body)
-
-    tagged = F.concat(F.lit('"'), F.md5(html), F.lit('"'))
-    full = text("HTTP/1.1 200 OK", {
-        "Content-Type": "text/html", "ETag": tagged, "Cache-Control": "max-age=60",
-        "Content-Length": F.octet_length(html).cast("string"),
-    })
-    same = text("HTTP/1.1 304 Not Modified", {
-        "ETag": F.concat(F.lit("W/"), tagged), "Cache-Control": "max-age=120", "Content-Length": "0",
-    })
+    html, name = F.coalesce("html", F.lit("")), F.col("page_id").cast("string")
     records = F.array(
-        record("response", F.col("page_id"), full, html),
-        record("revisit", F.col("page_id") + again_after, same, F.lit("")),
+        _record("response", name, F.col("page_id"), _ok(html, _quoted(html)), html),
+        _record("revisit", name, F.col("page_id") + again_after, _same(_quoted(html)), F.lit("")),
     )
     return pages.select(F.explode(records).alias("record"))
+
+
+def crawl_of_versions(pages: DataFrame, between: int) -> DataFrame:
+    """WARC records of a crawl that asks for the pages ``page_id, url, html`` up to five times.
+
+    Visit v of page n is at minute ``n + v * between``. Visit 0 is the first full response and
+    visit 1 finds it unchanged. Every fourth page has a second version, fetched at visit 2, and
+    visit 3 finds that one unchanged; half of these still ask with the first version's
+    validators. Some pages are found unchanged before any response (visit -1) and some have an
+    error at visit 2. Validators are entity tags, dates of modification alone, or none.
+    """
+    n, url_of = F.col("page_id"), F.col("page_id").cast("string")
+    html = F.coalesce("html", F.lit(""))
+    dated, bare = n % 4 == 1, n % 16 == 2
+
+    def body(version: int) -> Column:
+        return F.concat(html, F.lit(f"<!-- {version} -->")) if version > 1 else html
+
+    def validators(version: int) -> tuple[Column, Column]:
+        day = F.date_add(F.lit("2023-11-14").cast("date"), (n % 1000 + version).cast("int"))
+        date = F.concat(F.date_format(day, "EEE, dd MMM yyyy"), F.lit(" 00:00:00 GMT"))
+        return F.when(~(dated | bare), _quoted(body(version))), F.when(dated, date)
+
+    def visit(v: int, kind: str, http: Column, text: Column) -> Column:
+        return _record(kind, F.concat(url_of, F.lit(f":{v}")), n + v * between, http, text)
+
+    def response(v: int, version: int) -> Column:
+        return visit(v, "response", _ok(body(version), *validators(version)), body(version))
+
+    def revisit(v: int, version: int) -> Column:
+        return visit(v, "revisit", _same(*validators(version)), F.lit(""))
+
+    error = _text("HTTP/1.1 503 Service Unavailable", {"Retry-After": "60"})
+    records = F.array(
+        F.when(n % 8 == 3, revisit(-1, 1)),
+        response(0, 1),
+        revisit(1, 1),
+        F.when(n % 4 == 0, response(2, 2)).when(n % 16 == 5, visit(2, "response", error, F.lit(""))),
+        F.when(n % 8 == 0, revisit(3, 2)).when(n % 8 == 4, revisit(3, 1)),
+    )
+    return pages.select(F.explode(F.array_compact(records)).alias("record"))

@@ -110,3 +110,25 @@ def test_crawl(spark):
     assert got["urn:revisit:1"].outcome == "changed" and got["urn:revisit:3"].outcome == "no_earlier"
     assert ("cache-control", "max-age=120") in [tuple(h) for h in got["urn:revisit:2"].headers]
     assert ("content-length", "3") in [tuple(h) for h in got["urn:revisit:2"].headers]
+
+
+def test_versions_need_the_time_of_a_revisit(spark, small_dir):
+    pages = spark.read.parquet(f"{small_dir}/pages.parquet")
+    got = {r.record_id: r for r in W.resolved(W.parsed(W.crawl_of_versions(pages, 5_000))).collect()}
+    assert {r.outcome for r in got.values()} == {"full", "other", "resolved", "no_earlier", "changed", "unverified"}
+    # visit 1 lies between two responses of its URL: the later one must not be taken
+    assert got["urn:response:8:2"].outcome == "full" and got["urn:revisit:8:1"].outcome == "resolved"
+    assert got["urn:revisit:8:1"].refers_to == "urn:response:8:0"
+    assert got["urn:revisit:8:3"].refers_to == "urn:response:8:2" and got["urn:revisit:8:3"].outcome == "resolved"
+    assert got["urn:revisit:4:3"].outcome == "changed" and got["urn:revisit:3:-1"].refers_to is None
+    assert got["urn:revisit:2:1"].outcome == "unverified" and got["urn:response:5:2"].outcome == "other"
+    assert "last-modified" in [h.name for h in got["urn:revisit:1:1"].headers]
+
+
+def test_versions_of_nothing(spark):
+    schema = "page_id long, url string, html string, record string"
+    assert W.crawl_of_versions(spark.createDataFrame([], schema), 5).collect() == []
+    rows = spark.createDataFrame([(0, None, None, "x"), (None, "http://a.com", "a", None), (4, "http://a.com", "", "x")], schema)
+    got = W.resolved(W.parsed(W.crawl_of_versions(rows, 5))).collect()
+    assert len(got) == 4 + 2 + 4
+    assert all(r.outcome in ("full", "no_earlier") for r in got if r.canonical_url is None)
