@@ -7,10 +7,11 @@ own: the sum, over the text's n-grams, of how far their ranks lie apart, or ``RA
 the language's profile lacks one.
 
 Counting adds up n-grams in each task, and only these sums are shuffled. Profiles have
-``RANKS`` entries a language: with at most ``MAX_LANGUAGES`` languages (16 bytes an entry)
-their broadcast has a proven size; more are refused.
+``RANKS`` entries a language, and at most ``MAX_LANGUAGES`` languages (16 bytes an entry) are
+broadcast at a time. More are taken in slices by name, one pass over the texts for each, that
+keeps the nearest so far; texts and passes are written in between.
 
-NULL texts and texts without a letter are ``und``, with score 0, as all are if there is
+A very long text is counted in chunks, all of it. NULL texts and texts without a letter are ``und``, with score 0, as all are if there is
 nothing to learn from. Equal distances go to the first language by name. Texts of NULL
 language or NULL ``doc_id`` are not learned from. Repeated rows are judged alike; an empty
 table gives no rows; extra columns are left out.
@@ -28,6 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hedonica.llm.common import fresh
+from hedonica.session import written
+
 RANKS = 300
 MAX_LANGUAGES = 4_000
 UNKNOWN = "und"
@@ -71,8 +75,8 @@ def profile(text: str) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:RANKS]]
 
 
-def profiles(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Learned from ``lang, text``: languages, and n-gram, language number and rank of entries."""
+def ranked(known: DataFrame) -> DataFrame:
+    """``lang, code, rank``: the profiles learned from ``lang, text``, without NULLs."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, tuple] = {}
@@ -89,13 +93,14 @@ def profiles(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.nda
                 ["lang", "code", "n"],
             )
 
-    known = docs.where("lang is not null and text is not null").select("lang", "text")
-    if (languages := known.select("lang").distinct().count()) > MAX_LANGUAGES:
-        raise ValueError(f"{languages} languages; profiles are made for {MAX_LANGUAGES}")
     sums = known.mapInArrow(counted, "lang string, code bigint, n bigint").groupBy("lang", "code")
     by = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    ranked = sums.agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(by) - 1)
-    top = ranked.where(F.col("rank") < RANKS).select("lang", "code", "rank").toArrow()
+    order = sums.agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(by) - 1)
+    return order.where(F.col("rank") < RANKS).select("lang", "code", "rank")
+
+
+def arrays(top: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, and n-gram, language number and rank of the entries, by n-gram."""
     names = sorted(set(top["lang"].to_pylist()))
     number = {lang: i for i, lang in enumerate(names)}
     code, rank = top["code"].to_numpy(), top["rank"].to_numpy().astype(np.int32)
@@ -104,6 +109,24 @@ def profiles(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.nda
     return names, code[order], lang[order], rank[order]
 
 
+def profiles(docs: DataFrame, at_once: int = MAX_LANGUAGES) -> Iterator[tuple]:
+    """The ``arrays`` of all languages in ``lang, text``, ``at_once`` languages at a time."""
+
+    def first(langs: DataFrame) -> list[str]:
+        return [r["lang"] for r in langs.distinct().orderBy("lang").limit(at_once + 1).collect()]
+
+    known = docs.where("lang is not null and text is not null").select("lang", "text")
+    names = first(known.select("lang"))
+    if len(names) <= at_once:
+        yield arrays(ranked(known).toArrow())
+        return
+    top = written(ranked(known), "language-profiles")
+    while names:
+        last = names[:at_once][-1]
+        yield arrays(top.where(F.col("lang").between(names[0], last)).toArrow())
+        names = first(top.select("lang").where(F.col("lang") > last))
+
+
 class Classifier:
     def __init__(self, names: list[str], code: np.ndarray, lang: np.ndarray, rank: np.ndarray):
         self.names, self.code, self.lang, self.rank = names, code, lang, rank
@@ -133,20 +156,40 @@ def _classifier(key: str, sent) -> Classifier:
     return Classifier(*sent.value)
 
 
-def identified(docs: DataFrame, learn_from: DataFrame, keep: list[str]) -> DataFrame:
+def identified(
+    docs: DataFrame, learn_from: DataFrame, keep: list[str], at_once: int = MAX_LANGUAGES
+) -> DataFrame:
     """The columns ``keep`` of ``docs``, and ``lang_pred, score`` of its ``text``."""
-    sent = docs.sparkSession.sparkContext.broadcast(profiles(learn_from))
-    key = uuid.uuid4().hex
-    rows = docs.select(*keep, F.col("text").alias("text"))
-    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    last = len(keep)
+    best, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    rows = docs.select(
+        *keep, F.col("text").alias("text"), F.lit(UNKNOWN).alias(best), F.lit(0.0).alias(score)
+    )
+    slices = profiles(learn_from, at_once)
+    sent = next(slices)
+    while sent is not None:
+        more = next(slices, None)
+        rows = _nearer(rows, sent, len(keep))
+        if more is not None:
+            rows = written(rows, "languages-so-far")
+        sent = more
+    return rows.drop(rows.columns[len(keep)]).withColumnsRenamed({best: "lang_pred", score: "score"})
+
+
+def _nearer(rows: DataFrame, learned: tuple, at: int) -> DataFrame:
+    """``rows``, whose columns from ``at`` on are text, language and score so far, after one
+    more slice of languages. Between slices the earlier one wins ties."""
+    sent, key, schema = rows.sparkSession.sparkContext.broadcast(learned), uuid.uuid4().hex, rows.schema
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = _classifier(key, sent)
         for batch in batches:
-            found = [classifier.of(text.as_py()) for text in batch.column(last)]
+            so_far = zip(batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist())
+            found = []
+            for text, old in zip(batch.column(at), so_far):
+                new = classifier.of(text.as_py())
+                found.append(new if new[1] > old[1] or old[0] == UNKNOWN else old)
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *new], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], *new], schema.names)
 
     return rows.mapInArrow(judged, schema)
 

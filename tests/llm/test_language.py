@@ -70,10 +70,15 @@ def test_nothing_to_learn_from(spark, documents):
     assert L.held_out_predictions(documents([(1, "x")]).limit(0)).collect() == []
 
 
-def test_too_many_languages(spark, documents, monkeypatch):
-    monkeypatch.setattr(L, "MAX_LANGUAGES", 1)
-    with pytest.raises(ValueError):
-        L.profiles(documents([(1, "a", "en", "s"), (2, "b", "de", "s")]))
+@pytest.mark.parametrize("at_once", [1, 2, 3])
+def test_languages_in_slices(spark, documents, small_dir, at_once):
+    docs = table(spark, small_dir, "documents").select("doc_id", "text", "lang")
+    rows = [(-1, None, "zz", "s"), (-2, "", "aa", "s"), (-3, "12 3", "ab", "s"), (-4, "\u4e2d\u6587", None, "s"), (-4, "\u4e2d\u6587", None, "s")]
+    docs = docs.union(documents(rows).select("doc_id", "text", "lang"))
+    assert docs.where("text is not null").select("lang").distinct().count() > 4
+    whole = L.identified(docs, docs, ["doc_id"]).collect()
+    parts = L.identified(docs, docs, ["doc_id"], at_once=at_once).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, parts))
 
 
 def test_held_out_accuracy(spark, small_dir):
