@@ -153,12 +153,19 @@ def limits(docs: DataFrame, lang: str = "lang", source: str = "source") -> DataF
         F.posexplode(F.array(*[bin_of(v) for v in signs.values()])).alias("sign", "bin"),
     )
     sketch = rows.groupBy("lang", "source", "sign", "bin").agg(F.count(F.lit(1)).alias("n"))
-    merged = None
-    for level, by in enumerate((["lang", "source"], ["lang"], [])):
-        part = sketch.groupBy(*by, "sign", "bin").agg(F.sum("n").alias("n"))
-        held = [F.col(c) if c in by else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
-        part = part.select(F.lit(level).alias("level"), *held, "sign", "bin", "n")
-        merged = part if merged is None else merged.union(part)
+    none = F.lit(None).cast("string")
+    levels = [("lang", "source"), ("lang", None), (None, None)]
+    groups = F.array(*[
+        F.struct(
+            F.lit(level).alias("level"), (F.col(by) if by else none).cast("string").alias("lang"),
+            (F.col(of) if of else none).cast("string").alias("source"),
+        )
+        for level, (by, of) in enumerate(levels)
+    ])
+    # the sketches are small: their rows are copied for each level, so texts are read once
+    merged = sketch.select(F.explode(groups).alias("group"), "sign", "bin", "n")
+    merged = merged.select("group.*", "sign", "bin", "n")
+    merged = merged.groupBy("level", "lang", "source", "sign", "bin").agg(F.sum("n").alias("n"))
     key = ["level", "lang", "source", "sign"]
     upto = Window.partitionBy(*key).orderBy("bin")
     ranked = merged.withColumns({
