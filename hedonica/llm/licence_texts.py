@@ -72,3 +72,40 @@ FAMILIES = {
         "No part of this publication may be reproduced, distributed, or transmitted in any form without the prior written permission of the publisher.",
     ],
 }
+
+# Notices of licences that are no family here, and sentences that only look like notices.
+# Every second one trains, the others calibrate.
+NEAR_NOTICES = [
+    "Licensed under the Zlib License. See LICENSE file in the project root for full license information.",
+    "Licensed under the ISC License. See LICENSE file in the project root for full license information.",
+    "Released under the ISC License.",
+    "Released under the Zlib License.",
+    "Licensed under the Boost Software License, Version 1.0.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Licensed under the Eclipse Public License, Version 2.0.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "This project is licensed under the terms of the ISC license.",
+    "This project is licensed under the terms of the Artistic License.",
+    "Released under the Artistic License 2.0.",
+    "Released under the Unlicense.",
+    "This work is licensed under the GNU Free Documentation License, version 1.3.",
+    "This work is licensed under the Open Font License, version 1.1.",
+    "SPDX-License-Identifier: ISC",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: BSL-1.0",
+    "SPDX-License-Identifier: EPL-2.0",
+    "SPDX-License-Identifier: Artistic-2.0",
+    "SPDX-License-Identifier: OFL-1.1",
+    "Licensed under the Common Development and Distribution License, version 1.0.",
+    "Licensed under the Academic Free License, version 3.0.",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "The copyright notices in the Software and this entire statement must be included in all copies of the Software, in whole or in part",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "provided that the above copyright notice and this permission notice appear in all copies",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License",
+    "This program is distributed with a manual that you can redistribute to your friends.",
+    "All rights of the workers are reserved for a later meeting.",
+    "She was released under the terms of the new law.",
+    "You may obtain a copy of the report at the town hall.",
+    "The rights to use the road in the public interest.",
+]

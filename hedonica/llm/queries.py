@@ -78,7 +78,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"),
+        "doc_id", "paragraph", "word", "family", F.round("probability", 6).alias("probability"),
         F.round("similarity", 6).alias("similarity"), "text",
     )
 
