@@ -108,4 +108,8 @@ NEAR_NOTICES = [
     "She was released under the terms of the new law.",
     "You may obtain a copy of the report at the town hall.",
     "The rights to use the road in the public interest.",
+    "Licensed under the Python License, Version 2.0.",
+    "Licensed under the Elastic License, Version 2.0.",
+    "Released under the Python 2.0 license.",
+    "Released under the Perl license.",
 ]

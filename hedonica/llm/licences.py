@@ -58,7 +58,7 @@ UNKNOWN = "unknown"
 NAMES = [UNKNOWN, *FAMILIES]
 TABLE_BITS = 1 << 17
 # Words of a window, and from one start to the next.
-WINDOW, WINDOW_STEP = 16, 8
+WINDOW, WINDOW_STEP = 16, 4
 NO_WORD = "[^\\p{L}\\p{N}]"
 # From the end of a line over lines without words to the next one.
 BREAK = f"\n{NO_WORD}*\n"
@@ -149,7 +149,8 @@ def windows(rows: DataFrame, known: Anchors | None = None) -> DataFrame:
             return F.sequence(F.lit(0), F.greatest(F.ceil((F.size(w) - WINDOW) / WINDOW_STEP), F.lit(0)).cast("int"))
         seen = F.filter(F.sequence(F.lit(1), F.size(w) - 1), lambda i: known.at(w, i))
         last = F.transform(seen, lambda i: F.floor((i - 1) / WINDOW_STEP).cast("int"))
-        return F.array_distinct(F.flatten(F.transform(last, lambda k: F.array(F.greatest(k - 1, F.lit(0)), k))))
+        over = F.transform(last, lambda k: F.sequence(F.greatest(k - WINDOW // WINDOW_STEP + 1, F.lit(0)), k))
+        return F.array_distinct(F.flatten(over))
 
     def parts(x: Column) -> Column:
         def part(k: Column) -> Column:

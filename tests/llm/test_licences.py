@@ -154,7 +154,7 @@ def brute(text):
 
     for p, part in enumerate(re.split(r"\n[\W_]*\n", text)):
         w = tokens(part)
-        for at in range(0, len(w), 8):
+        for at in range(0, len(w), Z.WINDOW_STEP):
             mine = w[at : at + 16]
             share = {
                 f: max(len(both(mine) & both(tokens(n))) / min(15, len(both(tokens(n)))) for n in ns)
