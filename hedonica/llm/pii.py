@@ -5,7 +5,8 @@ at them, so their places follow from the lengths of the pieces, and the words ar
 are the ends of the pieces beside it; where these have no word that counts, words further on
 are read across neighbouring spans, and entries of a list share theirs. Card numbers must pass Luhn, account numbers (IBAN)
 mod-97; both then count as certain. The kinds without a checksum start from a lower score,
-which words like ``phone`` or ``ssn`` just before or after raise and words like ``invoice`` lower; a
+which words like ``phone`` or ``ssn`` just before or after raise and words like ``invoice`` before it lower,
+unless one of the first names the span directly after it (``order 555-123-4567 phone``); a
 span is taken from a score of ``ACCEPT`` on. The four base kinds are taken whenever their own
 check holds; their score only tells how sure it is.
 
@@ -127,7 +128,7 @@ KINDS = [
     Kind(
         "ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
         "[0-9]-[0-9]{2}-[0-9]", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3,
-        "ssn|social security|taxpayer",
+        "ssn|social[ -]security|taxpayer",
     ),
     Kind(
         "local_phone", "(?<![0-9+.-])\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
@@ -211,12 +212,13 @@ def spans(text: Column, kind: Kind) -> Column:
     """Accepted spans of one kind, ascending: start, end (exclusive) and score."""
 
     context, doubt = f"(?i){kind.context}", f"(?i)\\b(?:{DOUBT})"
+    names = f"(?i)^ ?\\(?(?:{kind.context})"
 
     def scored(x: Column, words: Column) -> Column:
         # words across spans count only if they raise: a doubt stays with the span it is beside
         near = words["before"].rlike(context)
         raised = F.when(near | words["after"].rlike(context), CONTEXT_WEIGHT).otherwise(0.0)
-        doubted = F.when(near, words["before"]).otherwise(x["before"]).rlike(doubt)
+        doubted = F.when(near, words["before"]).otherwise(x["before"]).rlike(doubt) & ~x["after"].rlike(names)
         score = F.least(F.lit(1.0), F.lit(kind.score) + raised - F.when(doubted, CONTEXT_WEIGHT).otherwise(0.0))
         return F.struct(
             x["start"].alias("start"), (x["start"] + x["size"]).alias("end"), score.alias("score"),

@@ -70,6 +70,11 @@ MORE = [
     ("Phone: (555) 123-4567", "local_phone:7:21"),
     ("invoice 555 123-4567", ""),
     ("phone order 555 123-4567", ""),
+    ("Invoice 123-45-6789 SSN", "ssn:8:19"),
+    ("order 555-123-4567 phone", "local_phone:6:18"),
+    ("order 555-123-4567 (phone)", "local_phone:6:18"),
+    ("order 555-123-4567, phone ahead", ""),
+    ("Social-Security-Nr. 111-22-3333", "ssn:20:31"),
 ]
 
 
