@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# What a line's discount and tax say about its price; all other lines have the price they name.
+NO_PRICE, TOP_PRICE = 1, 2
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,24 +37,34 @@ def area(key: str, factor: int, zero_every: int, missing_digit: int, digit_of: s
 def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region")
     nation = table(spark, sf_dir, "nation")
-    customer = table(spark, sf_dir, "customer")
-    orders = table(spark, sf_dir, "orders")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    # The one large table: shuffled, never the broadcast side, however small its files.
-    line = table(spark, sf_dir, "lineitem").hint("merge")
+    # The one large table: shuffled, never the broadcast side, however small its files. It is
+    # shuffled for each large key, so what is wide or takes few values is narrowed before.
+    line = (
+        table(spark, sf_dir, "lineitem")
+        .select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_linenumber",
+            "l_quantity",
+            F.when(F.col("l_discount") < 0.005, NO_PRICE)
+            .when((F.col("l_tax") > 0.075) & (F.col("l_linenumber") == 7), TOP_PRICE)
+            .alias("price_kind"),
+        )
+        .hint("merge")
+    )
 
-    # Orders meet their place first, so that lines are shuffled once per large key.
+    # Orders meet their buyer first, so that lines are shuffled once per large key. Names of
+    # places come last: up to there a sale carries the number of its nation.
+    buyer = orders.join(customer, orders.o_custkey == customer.c_custkey).select("o_orderkey", "c_nationkey")
     place = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         "n_nationkey", "n_name", "r_regionkey"
     )
-    buyer = customer.join(place, customer.c_nationkey == place.n_nationkey).select(
-        "c_custkey", "n_nationkey", "n_name", "r_regionkey"
-    )
-    order_place = orders.join(buyer, orders.o_custkey == buyer.c_custkey).select(
-        "o_orderkey", "n_nationkey", "n_name", "r_regionkey"
-    )
-    sales = line.join(order_place, line.l_orderkey == order_place.o_orderkey).join(
-        part, line.l_partkey == part.p_partkey
+    sales = (
+        line.join(buyer, line.l_orderkey == buyer.o_orderkey)
+        .drop("o_orderkey")
+        .join(part, line.l_partkey == part.p_partkey)
+        .join(place, buyer.c_nationkey == place.n_nationkey)
     )
 
     quantity = F.col("l_quantity").cast("int")
@@ -71,8 +85,8 @@ def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.char((F.col("l_partkey") % 26 + 65).cast("int")),
             (F.col("p_size") % 10).cast("string"),
         ).alias("bldg_class_sale"),
-        F.when(F.col("l_discount") < 0.005, " -  ")
-        .when((F.col("l_tax") > 0.075) & (F.col("l_linenumber") == 7), "2210000000")
+        F.when(F.col("price_kind") == NO_PRICE, " -  ")
+        .when(F.col("price_kind") == TOP_PRICE, "2210000000")
         .otherwise(F.floor("l_extendedprice").cast("bigint").cast("string"))
         .alias("price"),
         F.col("l_shipdate").alias("sale_ts"),

@@ -55,3 +55,18 @@ def test_lines_are_shuffled_not_broadcast(spark, small_dir):
     from hedonica.sources.surrogate import sales_raw
 
     assert "SortMergeJoin [l_orderkey" in plan_of(sales_raw(spark, small_dir))
+
+
+def test_sales_are_narrow_where_they_are_shuffled(spark, small_dir):
+    import re
+
+    from hedonica.sources.surrogate import sales_raw
+
+    sales = sales_raw(spark, small_dir)
+    plan = sales._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning", plan)
+    assert any("l_orderkey" in columns for columns in moved)
+    for columns in moved:
+        assert not any(c in columns for c in ("l_discount", "l_tax", "n_name", "r_regionkey"))
