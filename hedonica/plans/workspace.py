@@ -24,6 +24,8 @@ from hedonica.session import written
 from hedonica.sources.surrogate import sales_raw
 
 KEY, Y, PRED = "row_key", "logprice", "pred_price"
+# Keys in text are most of what the sales tables hold; entropy coding halves them.
+COMPACT = "zstd"
 WIDE = ["land_area", "gross_area", "hood", "yr_built"]
 
 
@@ -57,14 +59,14 @@ class Workspace:
     @stage
     def raw(self) -> DataFrame:
         """The joins of the stand-in are done once, not by every query over it."""
-        return written(sales_raw(self.spark, self.sf_dir), "raw")
+        return written(sales_raw(self.spark, self.sf_dir), "raw", COMPACT)
 
     def clean(self) -> DataFrame:
         return first_clean(self.raw, [KEY])
 
     @stage
     def tidy(self) -> DataFrame:
-        return written(tidy(self.raw, [KEY]), "tidy")
+        return written(tidy(self.raw, [KEY]), "tidy", COMPACT)
 
     @stage
     def boxes(self) -> Boxes:

@@ -65,7 +65,7 @@ def delete(spark: SparkSession, written_paths: list[str]) -> None:
             paths.remove(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
     Lineage ends at the files, so a lost executor costs a re-read, not a recompute. On one
@@ -75,7 +75,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if shared_dir(spark) is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -70,3 +70,9 @@ def test_sales_are_narrow_where_they_are_shuffled(spark, small_dir):
     assert any("l_orderkey" in columns for columns in moved)
     for columns in moved:
         assert not any(c in columns for c in ("l_discount", "l_tax", "n_name", "r_regionkey"))
+
+
+def test_the_sales_tables_are_written_compactly(spark, small_dir):
+    w = workspace(spark, small_dir)
+    for table in (w.raw, w.tidy):
+        assert all(f.endswith(".zstd.parquet") for f in table.inputFiles())
