@@ -57,7 +57,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, vocabulary: str = WORD
             )
 
         for batch in batches:
-            found = encoder.of_texts(text.as_py() for text in batch.column(1))
+            found = encoder.of_column(batch.column(1))
             for doc_id, ids in zip(batch.column(0).to_pylist(), found):
                 ids += end
                 doc_ids.append(doc_id)

@@ -4,8 +4,9 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from hedonica.llm import packing, simple8b, token_counts, token_files
+from hedonica.llm import packing, simple8b, token_counts, token_files, word_ids as word_ids_module
 from hedonica.llm.common import tokenizer
 from hedonica.llm.word_ids import WORD_BPE, word_ids
 from hedonica.session import fresh_path
@@ -35,6 +36,24 @@ def test_counts_equal_the_library(text):
     assert lengths.of(text) == len(ids_of(text, token_counts.BYTE_BPE))
 
 
+@given(st.lists(st.one_of(st.none(), ODD), max_size=8), st.sampled_from([1, 30, 16 << 20]), st.integers(0, 2))
+@settings(max_examples=200, deadline=None)
+def test_word_ids_of_a_column_are_those_of_its_texts(texts, size, skipped):
+    column = pa.array(texts, pa.string()).slice(skipped)
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(word_ids_module, "SLICE", size)
+        got = list(word_ids().of_column(column))
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [ids_of(t) for t in texts[skipped:]]
+
+
+def test_a_part_is_looked_up_once_a_slice(monkeypatch):
+    encoder = word_ids_module.WordIds(WORD_BPE)
+    asked, known = [], encoder.ids_of_part
+    monkeypatch.setattr(encoder, "ids_of_part", lambda part: asked.append(part) or known(part))
+    assert len(list(encoder.of_column(pa.array(["a b\na", "b  a", None, ""] * 50)))) == 200
+    assert sorted(asked) == ["", "a", "b"]
+
+
 BLANKS = st.text(alphabet=st.sampled_from(list("a1.    \xa0\xa0\u3000\t\n\r\x85\u2003\x1c")), max_size=30)
 
 
