@@ -1,5 +1,6 @@
 """Token files, packing and token counts against the tokenizers library, row by row."""
 
+import sys
 import zlib
 from collections import defaultdict
 
@@ -54,6 +55,26 @@ def test_a_part_is_looked_up_once_a_slice(monkeypatch):
     assert sorted(asked) == ["", "a", "b"]
 
 
+def test_a_slice_frees_what_it_was_cut_from(monkeypatch):
+    encoder, held = word_ids_module.WordIds(WORD_BPE), []
+    known = encoder.ids_of_part
+    seen = lambda part: held.append(pa.total_allocated_bytes() - before) or known(part)
+    texts = pa.array(["some words " * 200] * 6000)
+    before = pa.total_allocated_bytes()
+    monkeypatch.setattr(encoder, "ids_of_part", seen)
+    found = encoder.of_column(texts)
+    first = next(found)
+    held.append(pa.total_allocated_bytes() - before)
+    assert max(held) < texts.nbytes
+    assert all(ids == first for ids in found)
+
+
+def test_what_a_worker_remembers_is_small():
+    parts, pre_tokens = word_ids_module.PARTS, word_ids_module.PRE_TOKENS
+    entry = sys.getsizeof("a word") + sys.getsizeof(b"two ids.") + 60  # in a dict that has just grown
+    assert 2 * (parts + pre_tokens) * entry < 200e6
+
+
 BLANKS = st.text(alphabet=st.sampled_from(list("a1.    \xa0\xa0\u3000\t\n\r\x85\u2003\x1c")), max_size=30)
 
 
