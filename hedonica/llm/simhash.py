@@ -61,18 +61,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def with_fingerprint(docs: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) and the fingerprint of the text, as a long."""
-    source = fresh(docs, "_source")
     kept = docs.columns if keep is None else keep
-    rows = docs.withColumn(source, F.col("text").cast("binary")).select(*kept, source)
-    schema = StructType([*[f for f in rows.schema if f.name != source], StructField(name, LongType())])
-    names = schema.names
+    # A text that is kept is sent once: with a copy, a batch would be twice as large.
+    rows = docs.select(*kept) if "text" in kept else docs.select(*kept, "text")
+    at = kept.index("text") if "text" in kept else len(kept)
+    schema = StructType([*rows.schema.fields[: len(kept)], StructField(name, LongType())])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(v.as_py()) for v in batch.column(source)]
+            found = [fingerprint(v.as_py()) for v in batch.column(at).cast(pa.binary())]
             found = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-            columns = [batch.column(c) for c in names[:-1]]
-            yield pa.RecordBatch.from_arrays([*columns, found], names=names)
+            columns = batch.columns[: len(kept)]
+            yield pa.RecordBatch.from_arrays([*columns, found], names=schema.names)
 
     return rows.mapInArrow(marked, schema)
 

@@ -35,6 +35,21 @@ def parts(values):
     return root
 
 
+@pytest.mark.parametrize("keep", [None, ["doc_id"], ["text", "doc_id"]])
+def test_a_text_is_sent_to_python_once(spark, documents, keep, monkeypatch):
+    docs, sent = documents(["a b C", None, "\xe9 \x85x", ""]), []
+    kind = type(docs)
+    asked = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *a: sent.append(df.columns) or asked(df, *a))
+    marked = S.with_fingerprint(docs, "f", keep)
+    assert marked.columns == [*(keep or docs.columns), "f"]
+    assert sorted(sent[0]) == sorted({*(keep or docs.columns), "text"})
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = marked.collect()
+    assert {r.doc_id: r.f % 2**64 for r in rows} == {i: brute_fingerprint(t) for i, t in texts.items()}
+    assert "text" not in marked.columns or {r.doc_id: r.text for r in rows} == texts
+
+
 @given(st.text(alphabet="aB é\t\n\x0b\x1c\x85 .", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_fingerprint(text):
